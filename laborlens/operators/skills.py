@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,7 +18,7 @@ _PLAIN = re.compile(f"^{ASCII_RUN}$")
 
 
 def english_stopwords(extra=()) -> list[str]:
-    return sorted(set(StopWordsRemover.loadDefaultStopWords("english")) | set(extra))
+    return sorted(set(vocab.ENGLISH_STOPWORDS) | set(extra))
 
 
 def lexicon_table(spark: SparkSession, skills=vocab.SKILL_LEXICON,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from laborlens.plans import search_queries  # noqa: F401
+from laborlens.plans import ingest_queries, search_queries, skill_queries  # noqa: F401
 from laborlens.plans.tables import ORACLES, REGISTRY
 
 

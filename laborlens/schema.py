@@ -6,39 +6,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+TEXT, WHOLE, NUMBER, TIME = T.StringType(), T.LongType(), T.DoubleType(), T.TimestampNTZType()
+
 POSTING_DEFAULTS = {"job_type": "onsite", "contract_type": "full-time", "source": "adzuna"}
 
-API_POSTING = T.StructType.fromDDL(
-    "id STRING, title STRING, description STRING, company STRUCT<display_name: STRING>, "
-    "location STRUCT<display_name: STRING>, salary_min DOUBLE, salary_max DOUBLE, "
-    "redirect_url STRING, created STRING")
 
-FEED_ROW = T.StructType.fromDDL(
-    "title STRING, description STRING, company STRING, location STRING, country STRING, "
-    "job_url STRING, min_amount STRING, max_amount STRING, job_type STRING, date_posted STRING")
+def _columns(names: str, kind: T.DataType) -> list[T.StructField]:
+    return [T.StructField(name, kind) for name in names.split()]
+
+
+_NAMED = T.StructType(_columns("display_name", TEXT))
+
+API_POSTING = T.StructType(
+    _columns("id title description", TEXT) + _columns("company location", _NAMED)
+    + _columns("salary_min salary_max", NUMBER) + _columns("redirect_url created", TEXT))
+
+FEED_ROW = T.StructType(_columns(
+    "title description company location country job_url min_amount max_amount job_type date_posted",
+    TEXT))
 
 # a posting as the feeds deliver it, before it is stored
-ARRIVING = T.StructType.fromDDL(
-    "source_id STRING, title STRING, company STRING, location STRING, country STRING, "
-    "job_type STRING, contract_type STRING, salary_min DOUBLE, salary_max DOUBLE, "
-    "description STRING, source STRING, source_url STRING, raw_post_text STRING, "
-    "posted_at TIMESTAMP_NTZ")
+ARRIVING = T.StructType(
+    _columns("source_id title company location country job_type contract_type", TEXT)
+    + _columns("salary_min salary_max", NUMBER)
+    + _columns("description source source_url raw_post_text", TEXT) + _columns("posted_at", TIME))
 
 STORED = T.StructType(
-    [T.StructField("posting_id", T.LongType())]
-    + [f for f in ARRIVING.fields if f.name != "company"]
-    + T.StructType.fromDDL(
-        "company_id BIGINT, seniority STRING, scraped_at TIMESTAMP_NTZ, ingest_date DATE").fields)
+    _columns("posting_id", WHOLE) + [f for f in ARRIVING.fields if f.name != "company"]
+    + _columns("company_id", WHOLE) + _columns("seniority", TEXT) + _columns("scraped_at", TIME)
+    + _columns("ingest_date", T.DateType()))
 
 # summaries come later and row by row, so they are kept beside the wide posting rows
-SUMMARY = T.StructType.fromDDL(
-    "posting_id BIGINT, summary_en STRING, summary_ar STRING, written_at TIMESTAMP_NTZ")
+SUMMARY = T.StructType(
+    _columns("posting_id", WHOLE) + _columns("summary_en summary_ar", TEXT)
+    + _columns("written_at", TIME))
 
-CARD = T.StructType.fromDDL(
-    "page_id BIGINT, card_no INT, title STRING, company STRING, location STRING, "
-    "tags STRING, url STRING")
+CARD = T.StructType(
+    _columns("page_id", WHOLE) + _columns("card_no", T.IntegerType())
+    + _columns("title company location tags url", TEXT))
 
-DETAIL = T.StructType.fromDDL("page_id BIGINT, description STRING, salary_text STRING")
+DETAIL = T.StructType(_columns("page_id", WHOLE) + _columns("description salary_text", TEXT))
 
 
 def conform(df: DataFrame, schema: T.StructType, defaults: dict | None = None) -> DataFrame:

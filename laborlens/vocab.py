@@ -203,7 +203,23 @@ MATCH_DISTANCE = 0.85
 HISTORY_TURNS = 6
 
 # --- fixed values: stop words -----------------------------------------------------------
-# extra words left out of the term-frequency report, beside the library's English list
+# Spark's default English list, as far as its words can be tokens
+ENGLISH_STOPWORDS = (
+    "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours",
+    "yourself", "yourselves", "he", "him", "his", "himself", "she", "her", "hers",
+    "herself", "it", "its", "itself", "they", "them", "their", "theirs", "themselves",
+    "what", "which", "who", "whom", "this", "that", "these", "those", "am", "is", "are",
+    "was", "were", "be", "been", "being", "have", "has", "had", "having", "do", "does",
+    "did", "doing", "an", "the", "and", "but", "if", "or", "because", "as", "until",
+    "while", "of", "at", "by", "for", "with", "about", "against", "between", "into",
+    "through", "during", "before", "after", "above", "below", "to", "from", "up", "down",
+    "in", "out", "on", "off", "over", "under", "again", "further", "then", "once", "here",
+    "there", "when", "where", "why", "how", "all", "any", "both", "each", "few", "more",
+    "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so",
+    "than", "too", "very", "can", "will", "just", "don", "should", "now", "cannot", "could",
+    "ought", "would",
+)
+# extra words left out of the term-frequency report
 REPORT_STOPWORDS = (
     "the", "and", "for", "with", "you", "will", "our", "are", "this",
     "have", "that", "from", "your", "work", "team", "role", "looking",
