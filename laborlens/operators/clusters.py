@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laborlens.operators.skills import english_stopwords, text_terms
+from laborlens.session import cut_lineage
 
 CLUSTERS, SEED, STARTS, FEATURES = 5, 42, 10, 300
 
@@ -38,7 +39,7 @@ def cluster_texts(texts: DataFrame, k: int = CLUSTERS, key: str = "posting_id",
     if texts.limit(k).count() < k:
         return None
     vectors, names = term_vectors(texts)
-    vectors = vectors.select(key, "features").persist()
+    vectors = cut_lineage(vectors.select(key, "features"), "vectors")    # read by every start
     models = [KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="raw").fit(vectors)
               for i in range(starts)]
     best = min(models, key=lambda m: m.summary.trainingCost)

@@ -33,14 +33,13 @@ def detected_skills(resumes: DataFrame, text: str = "text", skills=vocab.RESUME_
 
 
 def skill_gap(detected: DataFrame, demand: DataFrame) -> DataFrame:
-    """(resume_id, missing): skills in demand that a résumé lacks, most wanted first.
+    """(resume_id, missing): skills in demand that a résumé lacks, lower case, most wanted first.
 
     ``demand`` is a top-k report; its names become one array, read once as a scalar.
     """
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("job_count")).alias("n"), "name")))
-    wanted = demand.agg(F.transform(ranked, lambda x: x["name"]).alias("names")).scalar()
-    low = F.transform("skills", F.lower)
-    missing = F.filter(wanted, lambda name: ~F.array_contains(low, F.lower(name)))
+    wanted = demand.agg(F.transform(ranked, lambda x: F.lower(x["name"])).alias("names")).scalar()
+    missing = F.array_except(wanted, F.transform("skills", F.lower))
     return detected.select("resume_id", missing.alias("missing"))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from laborlens.plans import ingest_queries, search_queries, skill_queries  # noqa: F401
+from laborlens.plans import (  # noqa: F401
+    ingest_queries, job_queries, search_queries, skill_queries, text_queries,
+)
 from laborlens.plans.tables import ORACLES, REGISTRY
 
 
