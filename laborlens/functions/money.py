@@ -31,17 +31,17 @@ def number_or_null(col: Column) -> Column:
 
 
 def amount_pair(low: Column, high: Column) -> Column:
-    """Feed amounts: zero, blank and NaN are missing; one bad text voids both."""
-    def missing(col):
-        text = F.coalesce(F.trim(col.cast("string")), F.lit(""))
-        return (text == "") | (F.lower(text) == "nan") | (text.try_cast("double") == 0)
-
-    def value(col):
-        return F.when(~missing(col), F.trim(col.cast("string")).try_cast("double"))
-
-    bad = (~missing(low) & value(low).isNull()) | (~missing(high) & value(high).isNull())
-    return F.struct(F.when(~bad, value(low)).alias("salary_min"),
-                    F.when(~bad, value(high)).alias("salary_max"))
+    """struct(salary_min, salary_max) of feed amounts: zero, blank and NaN are missing; one
+    bad text voids both."""
+    def text(col):
+        return F.nullif(F.nullif(F.lower(F.trim(col.cast("string"))), F.lit("")), F.lit("nan"))
+
+    texts = F.array(text(low), text(high))
+    numbers = F.transform(texts, lambda x: x.try_cast("double"))
+    # a text without number is one NULL more among the numbers
+    sound = F.size(F.array_compact(texts)) == F.size(F.array_compact(numbers))
+    kept = F.when(sound, F.transform(numbers, lambda x: F.nullif(x, F.lit(0.0))))
+    return F.struct(F.get(kept, 0).alias("salary_min"), F.get(kept, 1).alias("salary_max"))
 
 
 def in_pounds(country: Column) -> Column:

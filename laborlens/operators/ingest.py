@@ -29,9 +29,9 @@ def _one_per_key(df: DataFrame, keys, order) -> DataFrame:
 
 
 def first_wins(df: DataFrame, order, key: str = "source_id") -> DataFrame:
-    """The first arrival of each key; rows without key never collide."""
-    keyed = _one_per_key(df.where(F.col(key).isNotNull()), [key], order)
-    return keyed.unionByName(df.where(F.col(key).isNull()))
+    """The first arrival of each key; rows without key never collide, as each has its own."""
+    own = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+    return _one_per_key(df.withColumn("_own", own), [key, "_own"], order).drop("_own")
 
 
 def last_wins(df: DataFrame, keys, order) -> DataFrame:
@@ -40,7 +40,7 @@ def last_wins(df: DataFrame, keys, order) -> DataFrame:
 
 
 def not_stored(batch: DataFrame, stored: DataFrame, key: str = "source_id") -> DataFrame:
-    """Rows of a deduplicated batch whose key the store does not hold.
+    """Rows of a deduplicated batch whose key the store does not hold, or that have no key.
 
     The stored keys are first cut down to those of the batch, so the store is only scanned,
     not shuffled, while the batch is small enough to be broadcast.

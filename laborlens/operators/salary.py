@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -75,9 +77,11 @@ def train(frame: DataFrame, trees: int = 100, rate: float = 0.05, depth: int = 5
                          weightCol="weight", maxIter=trees, stepSize=rate, maxDepth=depth,
                          seed=seed, maxMemoryInMB=64),
         ]).fit(grouped)
-    models = SalaryModels(fit("salary_min"), fit("salary_max"))
+    with ThreadPoolExecutor(2) as pool:     # many short jobs each, so both run at a time
+        low, high = pool.map(inheritable_thread_target(grouped.sparkSession)(fit),
+                             ("salary_min", "salary_max"))
     grouped.unpersist()
-    return models
+    return SalaryModels(low, high)
 
 
 def raw_predictions(models: SalaryModels, features: DataFrame) -> DataFrame:

@@ -236,9 +236,7 @@ def ingest_counts(spark, d):
     batch = ingest.first_wins(rows, [F.asc("salary_min")])
     stored = (table(spark, d, "events").where("event_id % 5 = 0")
               .select(F.col("event_id").cast("string").alias("source_id")))
-    keyed = ingest.not_stored(batch.where("source_id IS NOT NULL"), stored)
-    inserted = keyed.unionByName(batch.where("source_id IS NULL"))
-    return ingest.ingest_counts(arriving, inserted, rejected)
+    return ingest.ingest_counts(arriving, ingest.not_stored(batch, stored), rejected)
 
 
 @query("insert_new_only", """

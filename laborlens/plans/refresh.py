@@ -12,6 +12,7 @@ from laborlens.functions.text import clean_text, clean_words
 from laborlens.operators import aggregates, clusters, filters, ingest, salary, skills, vectors
 from laborlens.operators.store import Store
 from laborlens.schema import STORED, SUMMARY, conform
+from laborlens.session import cut_lineage
 
 log = logging.getLogger(__name__)
 
@@ -22,12 +23,12 @@ def store_batch(store: Store, arriving: DataFrame, order, scraped_at=None, note:
     The seniority is read from the text here, so that no later step rewrites the rows for it.
     """
     rows, _ = ingest.accept(arriving)
-    batch = ingest.first_wins(rows, order)
+    # the batch is read for its keys, its rows and its companies, so it is computed once
+    batch = cut_lineage(ingest.first_wins(rows, order), "batch")
     base = 0
     if store.exists("postings"):
         stored = store.read("postings")
-        batch = (ingest.not_stored(batch.where("source_id IS NOT NULL"), stored)
-                 .unionByName(batch.where("source_id IS NULL")))
+        batch = ingest.not_stored(batch, stored)
         base = (stored.agg(F.max("posting_id")).first()[0] or 0) + 1
     scraped = filters.as_column(scraped_at)
     new = (batch

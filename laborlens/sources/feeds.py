@@ -34,24 +34,25 @@ def normalise_feed(raw: DataFrame, site: str) -> DataFrame:
     """Feed rows to arriving postings."""
     def text(name):
         value = F.coalesce(F.col(name), F.lit(""))
-        return F.when(value == "NaN", "").otherwise(value)   # a missing number in a text column
+        return F.when(value == "NaN", "").otherwise(value).alias(name)   # a missing number
 
-    title, location = text("title"), text("location")
-    amounts = money.amount_pair(F.col("min_amount"), F.col("max_amount"))
-    out = raw.select(
-        labels.source_id(site, text("job_url"), title, text("company"), location).alias("source_id"),
-        title.alias("title"),
-        labels.or_default(text("company"), vocab.UNKNOWN_COMPANY).alias("company"),
-        location.alias("location"),
-        F.when(text("country") != "", text("country"))
-        .otherwise(detect.country_of_location(location)).alias("country"),
-        detect.feed_work_mode(F.col("job_type"), title).alias("job_type"),
-        detect.feed_contract(F.col("job_type"), title).alias("contract_type"),
-        amounts["salary_min"].alias("salary_min"),
-        amounts["salary_max"].alias("salary_max"),
-        truncate(text("description"), vocab.DESCRIPTION_CHARS).alias("description"),
+    texts = ("title", "company", "location", "country", "job_url", "description", "job_type")
+    rows = raw.select(*[text(c) for c in texts], "date_posted",
+                      money.amount_pair(F.col("min_amount"), F.col("max_amount")).alias("pay"))
+    out = rows.select(
+        labels.source_id(site, F.col("job_url"), *[F.col(c) for c in ("title", "company", "location")])
+        .alias("source_id"),
+        "title",
+        labels.or_default(F.col("company"), vocab.UNKNOWN_COMPANY).alias("company"),
+        "location",
+        F.when(F.col("country") != "", F.col("country"))
+        .otherwise(detect.country_of_location(F.col("location"))).alias("country"),
+        detect.feed_work_mode(F.col("job_type"), F.col("title")).alias("job_type"),
+        detect.feed_contract(F.col("job_type"), F.col("title")).alias("contract_type"),
+        "pay.salary_min", "pay.salary_max",
+        truncate(F.col("description"), vocab.DESCRIPTION_CHARS).alias("description"),
         F.lit(site).alias("source"),
-        text("job_url").alias("source_url"),
+        F.col("job_url").alias("source_url"),
         labels.parse_time(F.col("date_posted")).alias("posted_at"),
     )
     return conform(out, ARRIVING)

@@ -62,8 +62,7 @@ def stored_first(stream: DataFrame, path: str, checkpoint: str, order, key: str)
         rows = ingest.first_wins(batch, order, key)
         if batch_id > 0:
             stored = spark.read.parquet(path).where(F.col("batch") < batch_id)
-            rows = (ingest.not_stored(rows.where(F.col(key).isNotNull()), stored, key)
-                    .unionByName(rows.where(F.col(key).isNull())))
+            rows = ingest.not_stored(rows, stored, key)
         rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
