@@ -22,18 +22,17 @@ def whole_word(alternatives: str) -> str:
 
 def _clean(col: Column, kept: str) -> Column:
     plain = F.regexp_replace(F.coalesce(col, F.lit("")), r"<[^>]+>", " ")
-    plain = F.regexp_replace(plain, f"[^{kept}]+", " ")
-    return F.lower(F.trim(F.regexp_replace(plain, " +", " ")))
+    return F.lower(F.trim(F.regexp_replace(plain, f"[^{kept}]+", " ")))
 
 
 def clean_text(col: Column) -> Column:
     """Tags and other characters to blanks, keeping ``# + . / -``; lower case; '' for NULL."""
-    return _clean(col, r"a-zA-Z0-9#+./\- ")
+    return _clean(col, r"a-zA-Z0-9#+./\-")
 
 
 def clean_words(col: Column) -> Column:
     """As ``clean_text`` but keeping only ``+ #`` beside letters and digits."""
-    return _clean(col, "a-zA-Z0-9+# ")
+    return _clean(col, "a-zA-Z0-9+#")
 
 
 def words(col: Column) -> Column:

@@ -43,10 +43,12 @@ def cluster_texts(texts: DataFrame, k: int = CLUSTERS, key: str = "posting_id",
     models = [KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="raw").fit(vectors)
               for i in range(starts)]
     best = min(models, key=lambda m: m.summary.trainingCost)
-    order = sorted(range(k), key=lambda i: (-best.summary.clusterSizes[i], i))
+    centres, sizes = best.clusterCenters(), best.summary.clusterSizes
+    # fewer than k when there are fewer distinct texts
+    order = sorted(range(len(centres)), key=lambda i: (-sizes[i], i))
     rows = []
     for number, raw in enumerate(order):
-        centre = best.clusterCenters()[raw]
+        centre = centres[raw]
         heavy = sorted(range(len(names)), key=lambda j: (-centre[j], names[j]))[:3]
         rows.append((raw, number, f"Cluster {number}: " + ", ".join(names[j] for j in heavy)))
     labels = texts.sparkSession.createDataFrame(rows, "raw int, cluster_id int, cluster string")

@@ -14,7 +14,6 @@ from laborlens.schema import API_POSTING
 PAGE = T.StructType([
     T.StructField("results", T.ArrayType(API_POSTING)),
     T.StructField("_corrupt_record", T.StringType()),
-    T.StructField("country", T.StringType()),
 ])
 
 
@@ -23,10 +22,11 @@ def read_api_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
     Returns the single results with their country code, and the pages that did not parse.
     """
-    pages = spark.read.schema(PAGE).option("mode", "PERMISSIVE").json(path)
-    good = (pages.where(F.col("_corrupt_record").isNull())
-            .select("country", F.explode("results").alias("r")).select("country", "r.*"))
-    bad = pages.where(F.col("_corrupt_record").isNotNull()).select("country", "_corrupt_record")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    pages = spark.read.text(path).select("country", F.from_json("value", PAGE, options).alias("p"))
+    good = (pages.where(F.col("p._corrupt_record").isNull())
+            .select("country", F.explode("p.results").alias("r")).select("country", "r.*"))
+    bad = pages.where(F.col("p._corrupt_record").isNotNull()).select("country", "p._corrupt_record")
     return good, bad
 
 
