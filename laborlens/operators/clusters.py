@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import (
@@ -40,8 +43,11 @@ def cluster_texts(texts: DataFrame, k: int = CLUSTERS, key: str = "posting_id",
         return None
     vectors, names = term_vectors(texts)
     vectors = cut_lineage(vectors.select(key, "features"), "vectors")    # read by every start
-    models = [KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="raw").fit(vectors)
-              for i in range(starts)]
+
+    def fit(start):
+        return KMeans(k=k, seed=seed + start, featuresCol="features", predictionCol="raw").fit(vectors)
+    with ThreadPoolExecutor(4) as pool:         # the starts are independent jobs
+        models = list(pool.map(inheritable_thread_target(texts.sparkSession)(fit), range(starts)))
     best = min(models, key=lambda m: m.summary.trainingCost)
     centres, sizes = best.clusterCenters(), best.summary.clusterSizes
     # fewer than k when there are fewer distinct texts

@@ -12,6 +12,7 @@ from laborlens import vocab
 from laborlens.functions.text import (
     ANY_RUN, ASCII_RUN, skill_pattern, string_array, terms, with_bigrams,
 )
+from laborlens.session import cut_lineage
 
 INLINE_SKILLS = 512      # lexicons up to this size are tested inside the row
 _PLAIN = re.compile(f"^{ASCII_RUN}$")
@@ -78,7 +79,8 @@ def match_skill_table(texts: DataFrame, lexicon: DataFrame, key: str = "posting_
         F.coalesce(F.get(longest, 0)["run"], skill).alias("run"),
         (~skill.rlike(f"^{ASCII_RUN}$")).alias("odd"),
         F.concat(F.lit(left + r"\Q"), skill, F.lit(r"\E" + right)).alias("pattern"))
-    hits = texts.select(key, F.explode(runs).alias("run")).join(anchored, "run")
+    hits = texts.select(key, F.explode(runs).alias("run")).join(anchored, "run").drop("run")
+    hits = cut_lineage(hits, "lexicon-hits")        # few rows, read for both kinds
     plain = hits.where("NOT odd").select(key, "skill")
     checked = (hits.where("odd").join(texts.select(key, clean), key)
                .where(F.regexp_like(F.col(clean), F.col("pattern"))).select(key, "skill"))

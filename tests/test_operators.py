@@ -45,7 +45,7 @@ def test_fresh_reaches_the_scan(spark, rows, tmp_path):
     stored = filters.fresh(spark.read.parquet(str(tmp_path / "p")), NOW).select("posting_id")
     plan = stored._jdf.queryExecution().toString()
     pushed = next(line for line in plan.split("PushedFilters")[1:])
-    assert "GreaterThanOrEqual(posted_at" in pushed and "GreaterThanOrEqual(scraped_at" in pushed
+    assert "Or(GreaterThanOrEqual(posted_at,2026-03-01T00:00),And(IsNull(posted_at)," in pushed
 
 
 def test_request_filter(rows):
