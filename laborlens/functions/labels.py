@@ -26,8 +26,11 @@ def event_time(posted_at: Column, scraped_at: Column) -> Column:
 
 
 def parse_time(text: Column) -> Column:
-    """Text time to a zone-free timestamp; NULL for bad text. The session zone should be UTC."""
-    return text.try_cast("timestamp").cast("timestamp_ntz")
+    """Text time to zone-free UTC; NULL for bad text. Text without a zone is taken as UTC."""
+    instant = F.to_utc_timestamp(text.try_cast("timestamp"), F.current_timezone())
+    return (F.when(text.rlike(r"\d(?:Z|[+-]\d{2}:?\d{2})$") & text.contains(":"),
+                   instant.cast("timestamp_ntz"))
+            .otherwise(text.try_cast("timestamp_ntz")))
 
 
 def age_days(day_text: Column, as_of: Column) -> Column:

@@ -72,7 +72,7 @@ def replace_rows(stored: DataFrame, changed: DataFrame, keys) -> DataFrame:
 
 
 def update_columns(stored: DataFrame, updates: DataFrame, key: str, columns) -> DataFrame:
-    """Point updates by key: the new value where there is one."""
+    """Point updates by key: the new value where there is one; ``updates`` has one row per key."""
     renamed = updates.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns])
     joined = stored.join(renamed, key, "left")
     return joined.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in columns else F.col(c)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from laborlens import vocab
+from laborlens.functions.text import clean_words
 from laborlens.operators import aggregates, clusters, ingest, salary, vectors
 from laborlens.operators.store import Store
 from laborlens.plans import refresh
 from laborlens.plans.ingest_queries import SENIORITY_CASE, _CANONICAL, _feed_sql, _raw_feed
 from laborlens.plans.skill_queries import documents
 from laborlens.plans.tables import POSTINGS, as_of, postings, query, table
-from laborlens.functions.text import clean_words
 from laborlens.session import cut_lineage, scratch_path, spread
 from laborlens.sources import feeds
 from laborlens.streaming import ingest as streams
@@ -139,6 +141,24 @@ def ingest_store(spark, d):
         "salary_max", "source", "posted_at")
 
 
+@query("refresh_gold", f"""
+WITH arriving AS ({' UNION ALL '.join(_feed_sql(s) for s in vocab.FEED_LOCATIONS)}),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY description, country, salary_min NULLS FIRST) AS n FROM arriving),
+leveled AS (SELECT {SENIORITY_CASE} AS seniority FROM (SELECT lower(title || ' ' || description) AS x FROM numbered WHERE n = 1))
+SELECT seniority, count(*) AS count FROM leveled GROUP BY 1
+""")
+def refresh_gold(spark, d):
+    """Ingest, skills, seniority and gold tables on a store; one of the gold tables."""
+    store = Store(spark, scratch_path(spark, "store"))
+    rows = feeds.ingest_feeds({site: _raw_feed(spark, d, site) for site in vocab.FEED_LOCATIONS})
+    day = datetime(2024, 1, 10)
+    refresh.store_batch(store, rows, [F.col(c).asc() for c in ("description", "country", "salary_min")], day)
+    refresh.refresh_skills(store)
+    refresh.refresh_seniority(store)
+    refresh.refresh_gold(store, day)
+    return store.read("seniority_breakdown")
+
+
 @query("schema_evolution", """
 SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer
 UNION ALL SELECT s_suppkey, s_name, NULL FROM supplier

@@ -233,6 +233,16 @@ def expired_postings(spark, d):
     return postings(spark, d, False, False).where(filters.is_expired(as_of(spark, d))).select("posting_id")
 
 
+@query("fetch_by_ids", f"""
+WITH {POSTINGS}
+SELECT posting_id, title, company FROM postings WHERE posting_id IN (SELECT vec_id FROM embeddings)
+""")
+def fetch_by_ids(spark, d):
+    wanted = table(spark, d, "embeddings").select(F.col("vec_id").alias("posting_id"))
+    found = filters.in_ids(postings(spark, d, country=False), wanted, "posting_id")
+    return found.select("posting_id", "title", "company")
+
+
 @query("label_lookup", f"""
 WITH {POSTINGS},
 labels(lang, key, label) AS (VALUES {", ".join(str(row) for row in vocab.LABEL_ROWS)})

@@ -232,6 +232,14 @@ def test_recommend_equals_brute_force(spark, seed, hot, direct_rows):
     assert got == brute(users, scores, 3, 2)
 
 
+def test_copies_are_cut_before_the_shuffle(spark):
+    scores = spark.range(100).selectExpr("id posting_id", "'a' skill", "1.0D score")
+    cut = recommend.profiles(recommend.unit_vectors(scores), 5)
+    assert [tuple(r)[:1] + (r.profile_id,) for r in cut.orderBy("posting_id").collect()] == [(i, 0) for i in range(5)]
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+
+
 def test_recommend_unknown_and_zero(spark):
     users = spark.createDataFrame([(1, ["none"]), (2, ["A", "b"])], "user_id long, skills array<string>")
     scores = spark.createDataFrame([(7, "a", 0.0), (8, "b", 1.0)], "posting_id long, skill string, score double")
