@@ -20,9 +20,11 @@ from laborlens.session import cut_lineage
 CLUSTERS, SEED, STARTS, FEATURES = 5, 42, 10, 300
 
 
-def term_vectors(texts: DataFrame, clean: str = "clean", features: int = FEATURES):
-    """Add ``features``, unit TF-IDF vectors of unigrams and bigrams; also returns the terms."""
-    listed = texts.withColumn("_terms", text_terms(clean, True, english_stopwords()))
+def term_vectors(texts: DataFrame, key: str = "posting_id", clean: str = "clean",
+                 features: int = FEATURES):
+    """(key, features), unit TF-IDF vectors of unigrams and bigrams; also returns the terms."""
+    listed = texts.select(key, text_terms(clean, True, english_stopwords()).alias("_terms"))
+    listed = cut_lineage(listed, "terms")       # tokenised once, read by both fits and the result
     counter = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=features).fit(listed)
     counts = counter.transform(listed).drop("_terms")
     idf = IDF(inputCol="_tf", outputCol="_idf").fit(counts)
@@ -41,8 +43,8 @@ def cluster_texts(texts: DataFrame, k: int = CLUSTERS, key: str = "posting_id",
     """
     if texts.limit(k).count() < k:
         return None
-    vectors, names = term_vectors(texts)
-    vectors = cut_lineage(vectors.select(key, "features"), "vectors")    # read by every start
+    vectors, names = term_vectors(texts, key)
+    vectors = cut_lineage(vectors, "vectors")    # read by every start
 
     def fit(start):
         return KMeans(k=k, seed=seed + start, featuresCol="features", predictionCol="raw").fit(vectors)

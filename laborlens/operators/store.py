@@ -7,13 +7,16 @@ commit is a snapshot. One writer at a time, as with the single database file bef
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-_LOG = "commit_id long, tables map<string, array<string>>, note string"
+_LOG = ("commit_id long, tables map<string, struct<folders: array<string>, schema: string>>, "
+        "note string")
 
 
 class Store:
@@ -32,7 +35,9 @@ class Store:
         if commit_id is not None:
             log = log.where(F.col("commit_id") == commit_id)
         row = log.orderBy(F.desc("commit_id")).limit(1).collect()
-        return (row[0].commit_id, row[0].tables) if row else (0, {})
+        if not row:
+            return 0, {}
+        return row[0].commit_id, {t: (e.folders, e.schema) for t, e in row[0].tables.items()}
 
     def committed(self, note: str) -> bool:
         return not self.history().where(F.col("note") == note).isEmpty()
@@ -48,8 +53,9 @@ class Store:
         return table in self._state()[1]
 
     def read(self, table: str, commit_id: int | None = None) -> DataFrame:
-        folders = self._state(commit_id)[1][table]
-        return self.spark.read.option("mergeSchema", "true").parquet(*folders)
+        """A table by the schema in the log, so no file footers are read to find it."""
+        folders, schema = self._state(commit_id)[1][table]
+        return self.spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(*folders)
 
     def _stage(self, table: str, df: DataFrame) -> str:
         folder = f"{self.root}/{table}/{uuid.uuid4().hex}"
@@ -61,9 +67,16 @@ class Store:
         staged = [(t, self._stage(t, df), True) for t, df in (replace or {}).items()]
         staged += [(t, self._stage(t, df), False) for t, df in (append or {}).items()]
         last, tables = self._state()
-        tables = {t: list(folders) for t, folders in tables.items()}
+        frames = {**(replace or {}), **(append or {})}
         for table, folder, whole in staged:
-            tables[table] = [folder] if whole or table not in tables else tables[table] + [folder]
+            schema = frames[table].schema
+            if whole or table not in tables:
+                folders = [folder]
+            else:       # older columns first, then those the append adds
+                folders = [*tables[table][0], folder]
+                older = StructType.fromJson(json.loads(tables[table][1]))
+                schema = StructType(older.fields + [f for f in schema if f.name not in older.names])
+            tables[table] = (folders, schema.json())
         return self._log(last, tables, note)
 
     def compact(self, table: str) -> int:
