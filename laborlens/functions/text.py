@@ -21,8 +21,10 @@ def whole_word(alternatives: str) -> str:
 
 
 def _clean(col: Column, kept: str) -> Column:
+    # joining the kept runs gives what replacing all else by blanks would, several times faster
     plain = F.regexp_replace(F.coalesce(col, F.lit("")), r"<[^>]+>", " ")
-    return F.lower(F.trim(F.regexp_replace(plain, f"[^{kept}]+", " ")))
+    runs = F.regexp_extract_all(plain, F.lit(f"([{kept}]+)"), F.lit(1))
+    return F.lower(F.array_join(runs, " "))
 
 
 def clean_text(col: Column) -> Column:
