@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laborlens.llm import bpe, decontaminate, huffman, simhash, suffix, topk, toxicity, url_filter, warc
+from laborlens.llm import bpe, decontaminate, huffman, maxent, simhash, suffix, topk, toxicity, url_filter, warc
 from laborlens.llm.common import Scratch, table
 
 #: The rules of the URL query: host, path, verdict.
@@ -32,6 +32,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.report(suffix.remove_repeats(table(spark, sf_dir, "documents")))
 

@@ -352,13 +352,13 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keyed(scratch: Scratch, docs: DataFrame) -> DataFrame:
-    """doc, doc_id, text: ``doc`` orders the rows by id; equal to the id where ids are distinct and not NULL."""
+    """The rows with ``doc``, which orders the rows by id; equal to the id where ids are distinct and not NULL."""
     shape = docs.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids")).first()
     if shape["n"] == shape["ids"]:
-        return docs.select(F.col("doc_id").alias("doc"), "doc_id", "text")
+        return docs.withColumn("doc", F.col("doc_id"))
     ordered = docs.repartitionByRange(max(1, shape["n"] // 100_000), F.asc_nulls_last("doc_id"), F.xxhash64("text")) \
         .sortWithinPartitions(F.asc_nulls_last("doc_id"), F.xxhash64("text"))
-    return scratch.save(ordered.select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text"), "keyed")
+    return scratch.save(ordered.withColumn("doc", F.monotonically_increasing_id()), "keyed")
 
 
 def repeats(scratch: Scratch, docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -390,8 +390,9 @@ def repeats(scratch: Scratch, docs: DataFrame, hot: int = HOT) -> DataFrame:
     return spans.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, id_: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (binary): each row without its repeats.
+def remove_repeats(docs: DataFrame, id_: str = "doc_id", text: str = "text", hot: int = HOT,
+                   also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (binary) and the columns ``also``: each row without its repeats.
 
     A byte goes if a string of WIDTH bytes covers it that also starts earlier: in a smaller id, or before
     in the same text. NULL and empty texts and those shorter than WIDTH stay as they are. Rows with equal
@@ -399,7 +400,7 @@ def remove_repeats(docs: DataFrame, id_: str = "doc_id", text: str = "text", hot
     its result. Other columns do not matter; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "suffix")
-    rows = keyed(scratch, docs.select(F.col(id_).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")))
+    rows = keyed(scratch, docs.select(F.col(id_).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), *also))
     spans = scratch.save(repeats(scratch, rows.select("doc", "text"), hot), "spans")
     scratch.drop("compared", "hot")
 
@@ -418,11 +419,31 @@ def remove_repeats(docs: DataFrame, id_: str = "doc_id", text: str = "text", hot
                 kept.append(b"".join(out))
                 counts.append((len(raw), len(raw) - len(kept[-1]), runs))
             n, removed, runs = (pa.array(x, pa.int64()) for x in zip(*counts))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, removed, runs, pa.array(kept, pa.binary())],
-                                             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), n, removed, runs, pa.array(kept, pa.binary()), *map(batch.column, also)],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *also])
 
-    return rows.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInArrow(
-        cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in also)
+    return rows.join(spans, "doc", "left").select("doc_id", "text", "spans", *also).mapInArrow(
+        cut, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept binary{kinds}")
+
+
+def whole_characters(kept: pa.Array) -> pa.Array:
+    """Texts of what is kept; the rest of a character that was cut through goes too."""
+    return pa.array([None if x is None else x.as_py().decode("utf-8", "ignore") for x in kept], pa.string())
+
+
+def clean_texts(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text without its repeats, n_bytes, n_removed and the columns ``also``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), whole_characters(batch.column("kept")), batch.column("n_bytes"),
+                 batch.column("n_removed"), *map(batch.column, also)], ["doc_id", "text", "n_bytes", "n_removed", *also])
+
+    kept = remove_repeats(docs, also=also)
+    kinds = "".join(f", `{c}` {kept.schema[c].dataType.simpleString()}" for c in also)
+    return kept.mapInArrow(run, f"doc_id long, text string, n_bytes long, n_removed long{kinds}")
 
 
 def report(kept: DataFrame) -> DataFrame:
