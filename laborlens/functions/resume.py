@@ -44,7 +44,7 @@ def length_points(word_count: Column) -> Column:
 
 def display_skill(skill: Column) -> Column:
     special = F.create_map(*[F.lit(x) for pair in vocab.SPECIAL_CASE_SKILLS.items() for x in pair])
-    capitalised = F.concat(F.upper(F.substring(skill, 1, 1)), F.lower(F.substring(skill, 2, 1000)))
+    capitalised = F.concat(F.upper(F.substring(skill, 1, 1)), F.lower(F.substr(skill, F.lit(2))))
     return (F.when(skill.isin(*vocab.UPPERCASE_SKILLS), F.upper(skill))
             .otherwise(F.coalesce(F.try_element_at(special, skill), capitalised)))
 

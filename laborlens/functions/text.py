@@ -65,8 +65,9 @@ def split_list(col: Column) -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
-def truncate(col: Column, chars: int) -> Column:
-    return F.substring(col, 1, chars)
+def truncate(col: Column, chars: int | None) -> Column:
+    """The first characters; all of them where no number is given."""
+    return col if chars is None else F.substring(col, 1, chars)
 
 
 def blank_to_null(col: Column) -> Column:

@@ -118,10 +118,11 @@ def lacks_summary() -> Column:
     return (F.coalesce("summary_en", F.lit("")) == "") | (F.coalesce("summary_ar", F.lit("")) == "")
 
 
-def backfill_candidates(postings: DataFrame, as_of=None, limit: int = 30) -> DataFrame:
-    """Fresh postings with a description but without both summaries, newest first."""
-    return (fresh(postings, as_of).where(lacks_summary() & present("description"))
-            .orderBy(F.coalesce("posted_at", "scraped_at").desc(), "posting_id").limit(limit))
+def backfill_candidates(postings: DataFrame, as_of=None, limit: int | None = None) -> DataFrame:
+    """Fresh postings with a description but without both summaries, newest first; all or ``limit``."""
+    found = (fresh(postings, as_of).where(lacks_summary() & present("description"))
+            .orderBy(F.coalesce("posted_at", "scraped_at").desc(), "posting_id"))
+    return found if limit is None else found.limit(limit)
 
 
 def training_rows(postings: DataFrame, ceiling: float = 500_000) -> DataFrame:

@@ -14,10 +14,12 @@ def accept(arriving: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows that can be stored, and rows without a title.
 
     Defaults apply only where a column is absent from the feed; a NULL company is 'Unknown'.
+    Columns of the arrival itself (its time, its file) stay behind the posting's, to order by.
     """
     company = (F.coalesce("company", F.lit(vocab.UNKNOWN_COMPANY))
                if "company" in arriving.columns else F.lit(vocab.UNKNOWN_COMPANY))
-    rows = conform(arriving.withColumn("company", company), ARRIVING, POSTING_DEFAULTS)
+    arrival = [c for c in arriving.columns if c not in ARRIVING.fieldNames()]
+    rows = conform(arriving.withColumn("company", company), ARRIVING, POSTING_DEFAULTS, arrival)
     return rows.where("title IS NOT NULL"), rows.where("title IS NULL")
 
 

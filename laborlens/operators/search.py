@@ -9,7 +9,6 @@ from pyspark.sql import Window as W
 from laborlens.functions import money
 from laborlens.operators.filters import fresh, matches_query, request_filter
 
-SEARCH_LIMIT = 500
 PER_PAGE = 21
 
 
@@ -18,40 +17,40 @@ def newest_first():
 
 
 def search_postings(postings: DataFrame, query: str | None = None, as_of=None,
-                    limit: int = SEARCH_LIMIT, raw_pattern: bool = False, **filters) -> DataFrame:
-    """Fresh postings (with their company name) under the request filters, newest first."""
-    return (fresh(postings, as_of)
+                    limit: int | None = None, raw_pattern: bool = False, **filters) -> DataFrame:
+    """Fresh postings (with their company name) under the request filters, newest first; all or ``limit``."""
+    found = (fresh(postings, as_of)
             .where(request_filter(**filters))
             .where(matches_query(query, raw_pattern=raw_pattern))
-            .orderBy(*newest_first()).limit(limit))
+            .orderBy(*newest_first()))
+    return found if limit is None else found.limit(limit)
+
+
+def clamp_page(results: DataFrame, page: int, per_page: int = PER_PAGE) -> tuple[int, int, int]:
+    """The asked page moved into 1..pages, the number of pages (1 at least) and of rows, by aggregation."""
+    rows = results.count()
+    pages = max(1, -(-rows // per_page))
+    return min(max(1, page), pages), pages, rows
 
 
 def offset_page(results: DataFrame, page: int, per_page: int = PER_PAGE) -> DataFrame:
-    """One page of any ordered result by offset."""
+    """One page of any ordered result by offset; a page before the first or past the last is the nearest."""
+    page = clamp_page(results, page, per_page)[0]
     return results.orderBy(*newest_first()).offset((page - 1) * per_page).limit(per_page)
 
 
-def number_pages(results: DataFrame, per_page: int = PER_PAGE) -> DataFrame:
-    """Add row_no, page, total_rows and total_pages to a limited search result.
+def page_of(results: DataFrame, page: int, per_page: int = PER_PAGE) -> DataFrame:
+    """The asked page, moved into 1..total_pages, with row numbers, totals and the pages shown around it.
 
-    The window has no partition key: its input is a search result, bounded by its limit.
+    Totals are an aggregate over the whole result; only the page's own rows are numbered.
     """
+    page, pages, rows = clamp_page(results, page, per_page)
+    before = (page - 1) * per_page
     order = W.orderBy(*newest_first())
-    everything = W.partitionBy()
-    return (results.withColumn("row_no", F.row_number().over(order))
-            .withColumn("page", F.ceil(F.col("row_no") / per_page).cast("int"))
-            .withColumn("total_rows", F.count(F.lit(1)).over(everything))
-            .withColumn("total_pages",
-                        F.greatest(F.lit(1), F.ceil(F.col("total_rows") / per_page)).cast("int")))
-
-
-def page_of(results: DataFrame, page: int, per_page: int = PER_PAGE) -> DataFrame:
-    """The asked page, moved into 1..total_pages, with the pages shown around it."""
-    numbered = number_pages(results, per_page)
-    wanted = F.greatest(F.lit(1), F.least(F.lit(page), F.col("total_pages")))
-    shown = F.sequence(F.greatest(F.lit(1), F.col("page") - 2),
-                       F.least(F.col("total_pages"), F.col("page") + 2))
-    return numbered.where(F.col("page") == wanted).withColumn("page_range", shown)
+    return (results.orderBy(*newest_first()).offset(before).limit(per_page)
+            .withColumn("row_no", F.row_number().over(order) + F.lit(before))
+            .withColumns({"page": F.lit(page), "total_rows": F.lit(rows).cast("long"), "total_pages": F.lit(pages),
+                          "page_range": F.sequence(F.lit(max(1, page - 2)), F.lit(min(pages, page + 2)))}))
 
 
 def salary_sort(results: DataFrame, order: str = "salary_high") -> DataFrame:
@@ -68,4 +67,5 @@ def salary_sorted_page(results: DataFrame, page: int, order: str = "salary_high"
     """A page in salary order: within the page only, or over the whole result."""
     if scope == "page":
         return salary_sort(page_of(results, page, per_page), order)
+    page = clamp_page(results, page, per_page)[0]
     return salary_sort(results, order).offset((page - 1) * per_page).limit(per_page)

@@ -103,6 +103,9 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 4,
     (item_id, embedding) is never shuffled: each batch of it yields k rows per query.
     Every further block is one more pass over the corpus.
     """
+    # a row without a vector is near nothing
+    queries, corpus = (df.where("embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL)")
+                       for df in (queries, corpus))
     blocks = 1 if at_most(queries, block) else math.ceil(queries.count() * 2 / block)
     found = None
     for b in range(blocks):

@@ -112,7 +112,7 @@ SELECT '{site}_' || left(sha1(unhex('{vocab.URL_NAMESPACE_HEX}') || encode({name
             ELSE 'full-time' END AS contract_type,
        CASE WHEN {bad} THEN NULL ELSE nullif({lo}, 0) END AS salary_min,
        CASE WHEN {bad} THEN NULL ELSE nullif({hi}, 0) END AS salary_max,
-       left(text, 3000) AS description, '{site}' AS source, url AS source_url,
+       text AS description, '{site}' AS source, url AS source_url,
        NULL::VARCHAR AS raw_post_text,
        CASE day WHEN '2024-01-05' THEN TIMESTAMP '2024-01-05' WHEN 'nan' THEN NULL
                 WHEN '2024-01-06T10:00:00Z' THEN TIMESTAMP '2024-01-06 10:00:00' END AS posted_at

@@ -234,15 +234,50 @@ def stream_dedup_final(spark, d):
     return spark.read.parquet(f"{root}/table").select("event_id", "user_id", "event_type", "value")
 
 
+@query("stream_ingest_first_wins", """
+SELECT 'e' || event_id AS source_id, event_type || ' 0' AS title, user_id::DOUBLE AS salary_min FROM events
+""")
+def stream_ingest_first_wins(spark, d):
+    """Copies of postings that differ land in three pulls; the store keeps what arrived first.
+
+    Every pull holds all keys again with another title and pay, and is a micro-batch of its own.
+    """
+    root = scratch_path(spark, "arrivals")
+    events = table(spark, d, "events")
+    for pull in range(3):
+        rows = events.select(F.concat(F.lit("e"), "event_id").alias("source_id"),
+                             F.concat("event_type", F.lit(f" {pull}")).alias("title"),
+                             (F.col("user_id") + pull).cast("double").alias("salary_min"))
+        rows.write.mode("append").parquet(f"{root}/landed/{pull}")
+    stream = streams.landed_stream(spark, f"{root}/landed/*", "source_id string, title string, salary_min double",
+                                   files_per_trigger=1)
+    store = Store(spark, f"{root}/store")
+    streams.ingest_stream(stream, store, f"{root}/checkpoint").awaitTermination()
+    return store.read("postings").select("source_id", "title", "salary_min")
+
+
 @query("summaries_written", """
+SELECT doc_id AS posting_id, 'text of ' || length(trim(text)) || ' characters' AS summary_en,
+       '- ' || length(trim(text)) AS summary_ar FROM documents
+""")
+def summaries_written(spark, d):
+    """Summaries of all whole texts by a plugged-in function that states their length."""
+    return _summaries(spark, d)
+
+
+@query("summaries_cut", """
 SELECT doc_id AS posting_id, 'text of ' || least(3000, length(trim(text))) || ' characters' AS summary_en,
        '- ' || least(3000, length(trim(text))) AS summary_ar FROM documents
 """)
-def summaries_written(spark, d):
-    """Summaries of all texts by a plugged-in function that states their length."""
+def summaries_cut(spark, d):
+    """The same for a model that takes 3,000 characters: here the cut is the feature."""
+    return _summaries(spark, d, 3000)
+
+
+def _summaries(spark, d, chars=None):
     def summarise(texts):
         return ('{"summary_en": "text of ' + texts.str.len().astype(str) + ' characters", "summary_ar": ["'
                 + texts.str.len().astype(str) + '",]}')
     docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
     rows = docs.select(F.col("doc_id").alias("posting_id"), F.col("text").alias("description"))
-    return streams.summarise_rows(rows, summarise)
+    return streams.summarise_rows(rows, summarise, chars)

@@ -18,7 +18,7 @@ CARD = [c.strip() for c in _CARD.split(",")]
 @query("posting_search", f"""
 WITH {POSTINGS}
 SELECT {_CARD} FROM fresh
-WHERE contains(lower(title), 'high') AND job_type = 'remote' ORDER BY {_NEWEST} LIMIT 500
+WHERE contains(lower(title), 'high') AND job_type = 'remote' ORDER BY {_NEWEST}
 """)
 def posting_search(spark, d):
     found = search.search_postings(postings(spark, d), " HIGH ", as_of(spark, d), job_type="remote",
@@ -30,7 +30,7 @@ def posting_search(spark, d):
 WITH {POSTINGS}
 SELECT {_CARD} FROM fresh
 WHERE (lower(title) LIKE '%customer%1_5%' OR lower(company) LIKE '%customer%1_5%')
-  AND contract_type = 'contract' ORDER BY {_NEWEST} LIMIT 500
+  AND contract_type = 'contract' ORDER BY {_NEWEST}
 """)
 def posting_search_company(spark, d):
     found = search.search_postings(postings(spark, d), "customer%1_5", as_of(spark, d),
@@ -38,26 +38,51 @@ def posting_search_company(spark, d):
     return found.select(*CARD)
 
 
-@query("posting_page", f"""
+def _page_sql(page: str) -> str:
+    return f"""
 WITH {POSTINGS},
-hits AS (SELECT * FROM fresh ORDER BY {_NEWEST} LIMIT 500),
 paged AS (
-  SELECT *, row_number() OVER (ORDER BY {_NEWEST}) AS row_no, count(*) OVER () AS total_rows FROM hits
+  SELECT *, row_number() OVER (ORDER BY {_NEWEST}) AS row_no, count(*) OVER () AS total_rows FROM fresh
 ),
 sized AS (SELECT *, greatest(1, CAST(ceil(total_rows / 21.0) AS INTEGER)) AS total_pages FROM paged)
 SELECT posting_id, title, row_no, CAST(ceil(row_no / 21.0) AS INTEGER) AS page, total_rows, total_pages,
        array_to_string(range(greatest(1, CAST(ceil(row_no / 21.0) AS INTEGER) - 2),
                              least(total_pages, CAST(ceil(row_no / 21.0) AS INTEGER) + 2) + 1), ',') AS shown
-FROM sized WHERE CAST(ceil(row_no / 21.0) AS INTEGER) = least(total_pages, 3)
-""")
-def posting_page(spark, d):
+FROM sized WHERE CAST(ceil(row_no / 21.0) AS INTEGER) = least(total_pages, {page})
+"""
+
+
+def _page(spark, d, page):
     hits = search.search_postings(postings(spark, d, country=False).withColumn("country", F.lit(None)),
                                   None, as_of(spark, d))
-    page = search.page_of(hits, 3)
+    page = search.page_of(hits, page)
     return page.select("posting_id", "title", F.col("row_no").cast("long"), "page", "total_rows",
                        "total_pages", F.array_join("page_range", ",").alias("shown"))
 
 
+@query("posting_page", _page_sql("3"))
+def posting_page(spark, d):
+    return _page(spark, d, 3)
+
+
+@query("posting_page_before_first", _page_sql("1"))
+def posting_page_before_first(spark, d):
+    """Page 0 is the first."""
+    return _page(spark, d, 0)
+
+
+@query("posting_page_far", _page_sql("30"))
+def posting_page_far(spark, d):
+    """A page beyond row 500, or the last where there are fewer."""
+    return _page(spark, d, 30)
+
+
+@query("posting_page_past_end", _page_sql("1000000"))
+def posting_page_past_end(spark, d):
+    """A page past the end is the last."""
+    return _page(spark, d, 1_000_000)
+
+
 @query("offset_page", f"""
 WITH {POSTINGS}
 SELECT posting_id, job_type FROM fresh ORDER BY {_NEWEST} LIMIT 21 OFFSET 42
@@ -189,7 +214,7 @@ WITH {POSTINGS}, {_SUMMARIES.format(source='fresh')}
 SELECT posting_id, description FROM summaries
 WHERE (coalesce(summary_en, '') = '' OR coalesce(summary_ar, '') = '')
   AND description IS NOT NULL AND description <> ''
-ORDER BY {_NEWEST} LIMIT 30
+ORDER BY {_NEWEST}
 """)
 def backfill_candidates(spark, d):
     rows = _with_summaries(postings(spark, d, country=False))

@@ -48,8 +48,8 @@ CARD = T.StructType(
 DETAIL = T.StructType(_columns("page_id", WHOLE) + _columns("description salary_text", TEXT))
 
 
-def conform(df: DataFrame, schema: T.StructType, defaults: dict | None = None) -> DataFrame:
-    """Add what is missing (a default only where the column is absent), cast, order columns."""
+def conform(df: DataFrame, schema: T.StructType, defaults: dict | None = None, keep=()) -> DataFrame:
+    """Add what is missing (a default only where the column is absent), cast, order columns; ``keep`` follow."""
     defaults = defaults or {}
     present = set(df.columns)
 
@@ -57,4 +57,4 @@ def conform(df: DataFrame, schema: T.StructType, defaults: dict | None = None) -
         source = F.col(field.name) if field.name in present else F.lit(defaults.get(field.name))
         return source.cast(field.dataType).alias(field.name)
 
-    return df.select(*[column(f) for f in schema.fields])
+    return df.select(*[column(f) for f in schema.fields], *keep)

@@ -27,10 +27,17 @@ def build_session(app: str = "laborlens", master: str | None = None, **extra) ->
     return builder.getOrCreate()
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and tasks are one process, so that its own folders are shared."""
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only in local mode where unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not is_local(spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="laborlens-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

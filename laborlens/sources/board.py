@@ -93,8 +93,8 @@ def _detail_row(html, fallbacks):
     return ("" if block is None else block.text(" "), hint)
 
 
-def page_details(pages: DataFrame, fallbacks=("section",)) -> DataFrame:
-    """Detail pages (page_id, html) to description, salary_min and salary_max."""
+def page_details(pages: DataFrame, fallbacks=("section",), chars: int | None = None) -> DataFrame:
+    """Detail pages (page_id, html) to description (whole unless ``chars``), salary_min and salary_max."""
     def run(batches):
         for batch in batches:
             rows = [(pid, *_detail_row(html, fallbacks))
@@ -103,7 +103,7 @@ def page_details(pages: DataFrame, fallbacks=("section",)) -> DataFrame:
     found = pages.select("page_id", "html").mapInPandas(run, DETAIL)
     pay = money.parse_salary(F.col("salary_text"))
     return found.select("page_id",
-                        truncate(F.col("description"), vocab.DESCRIPTION_CHARS).alias("description"),
+                        truncate(F.col("description"), chars).alias("description"),
                         pay["salary_min"].alias("salary_min"), pay["salary_max"].alias("salary_max"))
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from laborlens import vocab
 from laborlens.functions import detect, labels, money
-from laborlens.functions.text import truncate
 from laborlens.schema import ARRIVING, FEED_ROW, conform
 
 
@@ -50,7 +49,7 @@ def normalise_feed(raw: DataFrame, site: str) -> DataFrame:
         detect.feed_work_mode(F.col("job_type"), F.col("title")).alias("job_type"),
         detect.feed_contract(F.col("job_type"), F.col("title")).alias("contract_type"),
         "pay.salary_min", "pay.salary_max",
-        truncate(F.col("description"), vocab.DESCRIPTION_CHARS).alias("description"),
+        F.col("description").alias("description"),
         F.lit(site).alias("source"),
         F.col("job_url").alias("source_url"),
         labels.parse_time(F.col("date_posted")).alias("posted_at"),

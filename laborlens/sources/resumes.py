@@ -39,24 +39,22 @@ def split_uploads(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _docx_text(content: bytes) -> str:
-    try:
-        with zipfile.ZipFile(io.BytesIO(content)) as archive:
-            body = ElementTree.fromstring(archive.read("word/document.xml"))
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-        return ""
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        body = ElementTree.fromstring(archive.read("word/document.xml"))
     paragraphs = ("".join(t.text or "" for t in p.iter(f"{_W}t")) for p in body.iter(f"{_W}p"))
     return "\n".join(p for p in paragraphs if p).strip()
 
 
 def extract_text(files: DataFrame, pdf_text=None) -> DataFrame:
-    """Files (path, content) to (path, text) by extension.
+    """Files (path, content) to (path, text, reason) by extension; a file that gives no text says why.
 
     Word documents are unzipped here; ``pdf_text(bytes) -> str`` plugs in a PDF library and
-    without one PDF files give ''. All else is decoded as UTF-8, bad bytes dropped.
+    without one PDF files give ''. All else is decoded as UTF-8, bad bytes dropped. A damaged or
+    encrypted file never fails the job, whatever its reader raises.
     """
     def one(path, content):
         name = path.lower()
-        if not content:
+        if content is None or not len(content):
             return ""
         if name.endswith(".pdf"):
             return pdf_text(content) if pdf_text else ""
@@ -64,10 +62,15 @@ def extract_text(files: DataFrame, pdf_text=None) -> DataFrame:
             return _docx_text(content)
         return bytes(content).decode("utf-8", errors="ignore")
 
+    def safe(path, content):
+        try:
+            return one(path, content)
+        except Exception:       # noqa: BLE001  readers raise what they like on damaged files
+            return ""
+
     def run(batches):
         for batch in batches:
-            yield pd.DataFrame({
-                "path": batch["path"],
-                "text": [one(p, c) for p, c in zip(batch["path"], batch["content"])],
-            })
-    return files.select("path", "content").mapInPandas(run, "path string, text string")
+            texts = [safe(p or "", c) for p, c in zip(batch["path"], batch["content"])]
+            yield pd.DataFrame({"path": batch["path"], "text": texts,
+                                "reason": [None if t.strip() else vocab.UPLOAD_REASONS["unreadable"] for t in texts]})
+    return files.select("path", "content").mapInPandas(run, "path string, text string, reason string")

@@ -69,15 +69,16 @@ def stored_first(stream: DataFrame, path: str, checkpoint: str, order, key: str)
             .trigger(availableNow=True).start())
 
 
-def summarise_rows(rows: DataFrame, summarise) -> DataFrame:
+def summarise_rows(rows: DataFrame, summarise, chars: int | None = None) -> DataFrame:
     """(posting_id, summary_en, summary_ar) from a plugged-in text model.
 
-    ``summarise(series of text) -> series of replies`` is called per Arrow batch.
+    ``summarise(series of text) -> series of replies`` is called per Arrow batch; ``chars`` limits
+    the text for a model that takes no more.
     """
     def run(batches):
         for batch in batches:
             yield batch[["posting_id"]].assign(raw=summarise(batch["text"]))
-    sent = rows.select("posting_id", truncate(F.trim("description"), 3000).alias("text"))
+    sent = rows.select("posting_id", truncate(F.trim("description"), chars).alias("text"))
     answered = sent.mapInPandas(run, "posting_id long, raw string")
     raw, parsed = F.col("raw"), replies.parsed(F.col("raw"))
     return answered.select("posting_id",
@@ -85,13 +86,14 @@ def summarise_rows(rows: DataFrame, summarise) -> DataFrame:
                            replies.text_field(raw, parsed, "summary_ar").alias("summary_ar"))
 
 
-def backfill_summaries(store: Store, summarise, as_of=None, limit: int = 10) -> None:
+def backfill_summaries(store: Store, summarise, as_of=None, limit: int | None = None,
+                       chars: int | None = None) -> None:
     """Summarise some fresh postings; a reply that lacks either summary leaves its row open.
 
     Only the new summaries are written; readers take the last one of each posting.
     """
     todo = filters.backfill_candidates(refresh.with_summaries(store), as_of, limit)
-    done = (summarise_rows(todo, summarise).where(filters.present("summary_en", "summary_ar"))
+    done = (summarise_rows(todo, summarise, chars).where(filters.present("summary_en", "summary_ar"))
             .withColumn("written_at", F.current_timestamp().cast("timestamp_ntz")))
     store.commit(append={"summaries": conform(done, SUMMARY)}, note="summaries")
 

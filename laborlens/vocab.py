@@ -194,7 +194,6 @@ BOARD_COUNTRY = "Egypt"
 API_SOURCE = "adzuna"
 SOCIAL_SOURCE = "social"
 UNKNOWN_COMPANY = "Unknown"
-DESCRIPTION_CHARS = 3000
 URL_NAMESPACE_HEX = "6ba7b8119dad11d180b400c04fd430c8"   # RFC 4122 URL namespace
 
 # --- fixed values: retrieval context ----------------------------------------------------

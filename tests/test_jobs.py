@@ -6,6 +6,7 @@ import zipfile
 from datetime import datetime
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from laborlens import vocab
@@ -75,7 +76,7 @@ def test_board_details(spark):
     pages = spark.createDataFrame([(1, html), (2, "<section>a" + "b" * 4000 + "</section>"), (3, "")], "page_id long, html string")
     rows = {r.page_id: r for r in board.page_details(pages).collect()}
     assert (rows[1].description, rows[1].salary_min, rows[1].salary_max) == ("Long text here", 5000, 9000)
-    assert len(rows[2].description) == 3000 and rows[3].description == "" and rows[3].salary_min is None
+    assert len(rows[2].description) == 4001 and rows[3].description == "" and rows[3].salary_min is None
 
 
 def docx(*paragraphs):
@@ -189,3 +190,46 @@ def test_stream_prefilter(spark, tmp_path):
            .option("checkpointLocation", str(tmp_path / "c")).start())
     job.awaitTermination()
     assert spark.table("prefiltered").count() == 30
+
+
+def test_stream_keeps_the_first_arrival_by_default(spark, tmp_path):
+    for pull in range(3):
+        (spark.createDataFrame([(k, f"{k} {pull}") for k in "abc"[:pull + 1]], "source_id string, title string")
+         .coalesce(1).write.parquet(str(tmp_path / "in" / str(pull))))
+    stream = streams.landed_stream(spark, str(tmp_path / "in" / "*"), "source_id string, title string", files_per_trigger=1)
+    store = Store(spark, str(tmp_path / "s"))
+    streams.ingest_stream(stream, store, str(tmp_path / "c")).awaitTermination()
+    assert {r.title for r in store.read("postings").collect()} == {"a 0", "b 1", "c 2"}
+
+
+def test_damaged_files_give_a_reason(spark):
+    import io
+    import zipfile
+    whole = io.BytesIO()
+    with zipfile.ZipFile(whole, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("word/document.xml", "<w:document xmlns:w='http://schemas.openxmlformats.org/"
+                         "wordprocessingml/2006/main'><w:p><w:t>text here</w:t></w:p></w:document>" * 1)
+    broken = bytearray(whole.getvalue())
+    broken[60:75] = b"\xff" * 15
+    locked = bytearray(whole.getvalue())
+    locked[6] |= 1                                    # the flag of an encrypted entry, in both headers
+    locked[locked.rindex(b"PK\x01\x02") + 8] |= 1
+    files = spark.createDataFrame([("a.docx", bytearray(whole.getvalue())), ("b.docx", broken), ("c.docx", locked), ("d.docx", None),
+                                   ("e.txt", bytearray(b"plain"))], "path string, content binary")
+    found = {r.path: (r.text, r.reason) for r in resumes.extract_text(files).collect()}
+    assert found["a.docx"] == ("text here", None) and found["e.txt"] == ("plain", None)
+    assert all(found[p][0] == "" and found[p][1] for p in ("b.docx", "c.docx", "d.docx"))
+
+
+def test_missing_shared_folder_is_reported():
+    from laborlens import session
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})()
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.scratch_root(Session())

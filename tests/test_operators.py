@@ -68,7 +68,8 @@ def test_pages_partition_the_result(rows):
     assert ids(search.page_of(found, 0)) == pages[0] and ids(search.page_of(found, 99)) == pages[2]
     assert ids(search.offset_page(found, 2)) == pages[1]
     assert search.page_of(found, 3).first().page_range == [1, 2, 3]
-    assert search.number_pages(found.limit(0)).count() == 0
+    assert search.page_of(found.limit(0), 1).count() == 0
+    assert ids(search.offset_page(found, 0)) == pages[0] and ids(search.offset_page(found, 99)) == pages[2]
 
 
 def test_salary_sort(rows):
