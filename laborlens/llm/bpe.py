@@ -11,6 +11,7 @@ so agreement at both ends of an encoded window proves the whole.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import itertools
 import re
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from laborlens.llm.common import pieces
 
 PART = 1 << 16            # characters that one task encodes at once; longer texts go to several
-CACHE = 400_000           # chunks, and words, that a worker remembers before it starts afresh
+CACHE = 240_000           # chunks, and words, that a worker remembers
 SHORT = 200               # longer chunks are not remembered
 WINDOW = 4                # tokens on each side of a join at first
 
@@ -43,6 +44,7 @@ def encoder(path: str) -> "Encoder":
     """The encoder of this Python worker for a tokenizer file."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+        gc.disable()        # no cycles here, and the memory's many objects are slow to walk
     return _encoders[path]
 
 
@@ -51,6 +53,13 @@ def byte_letters(text: str) -> str:
     return text if text.isascii() and " " not in text else text.encode().decode("latin-1").translate(_LETTERS)
 
 
+def make_room(known: dict, more: int, limit: int) -> None:
+    """Forget what was learnt last if ``more`` entries pass the limit: frequent entries come early and stay."""
+    if len(known) + more > limit:
+        while len(known) > limit // 2:
+            known.popitem()
+
+
 def packed(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
@@ -86,9 +95,10 @@ class Encoder:
 
     def _learn(self, known: dict[str, bytes], asked: set[str], before: str) -> dict[str, bytes]:
         """ids of the chunks; short ones stay in ``known``."""
-        if len(known) + len(asked) > CACHE:
-            known.clear()
         new = sorted(asked.difference(known))
+        if len(known) + len(new) > CACHE:
+            make_room(known, len(new), CACHE)
+            new = sorted(asked.difference(known))
         if before:      # mostly a word of letters and marks after it: two runs, the word known without the marks
             self._learn_words({m[1] for m in map(self.shape.match, new) if m})
             marks: dict[str, bytes] = {"": b""}
@@ -108,8 +118,7 @@ class Encoder:
 
     def _learn_words(self, words: set[str]) -> None:
         """ids of a space and a word of letters."""
-        if len(self.bare) + len(words) > CACHE:
-            self.bare.clear()
+        make_room(self.bare, len(words), CACHE)
         new = sorted(words.difference(self.bare))
         for lo in range(0, len(new), 512):
             part = new[lo:lo + 512]

@@ -10,6 +10,7 @@ decoded in step, one table lookup for each id. The code lengths lie in a file of
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 import zlib
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laborlens.llm.bpe import byte_letters
+from laborlens.llm.bpe import byte_letters, make_room
 from laborlens.llm.common import Scratch, pieces
 
 MAX_BITS = 20
@@ -29,7 +30,7 @@ MAGIC, END = b"HFB1", "HFBE"
 HEADER = "<IIIIQ"
 BUCKET_IDS = 4_000_000    # ids of one bucket of neighbouring documents
 BLOCK_BYTES = 1 << 20
-CACHE = 500_000
+CACHE = 240_000           # chunks, and words, that a worker remembers
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -161,10 +162,8 @@ class WordEncoder:
         cut = [t.split() for t in texts]
         asked: set[bytes] = set()
         asked.update(*cut)
-        if len(self.chunks) + len(asked) > CACHE:
-            self.chunks.clear()
-        if len(self.bare) > CACHE:
-            self.bare.clear()
+        make_room(self.chunks, len(asked.difference(self.chunks)), CACHE)
+        make_room(self.bare, 0, CACHE)
         split, odd, bare, tails = [], [], set(), set()
         for chunk in asked.difference(self.chunks):
             text = chunk.decode()
@@ -196,6 +195,7 @@ def word_encoder(path: str) -> WordEncoder:
     """The encoder of this Python worker for a tokenizer file."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
+        gc.disable()        # no cycles here, and the memory's many objects are slow to walk
     return _encoders[path]
 
 
