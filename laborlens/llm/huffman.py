@@ -30,7 +30,7 @@ MAGIC, END = b"HFB1", "HFBE"
 HEADER = "<IIIIQ"
 BUCKET_IDS = 4_000_000    # ids of one bucket of neighbouring documents
 BLOCK_BYTES = 1 << 20
-CACHE = 240_000           # chunks, and words, that a worker remembers
+CACHE = 160_000           # chunks, and words, that a worker remembers
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -203,7 +203,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end: int, id_: str = "doc_id", tex
     """doc_id, n_tokens, ids (binary, little-endian 32 bits) with ``end`` appended."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = np.array([end], "<u4").tobytes()
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 1 << 20):
             ids = [x + tail for x in word_encoder(tokenizer).encode([(t.as_py() or "").encode() for t in batch.column("text")])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()),
                                               pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
@@ -216,7 +216,7 @@ def count_ids(tokens: DataFrame) -> DataFrame:
     """id, n over all rows; each task sends one row for each id it has."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
-        for batch in pieces(batches, "ids", 1 << 24):
+        for batch in pieces(batches, "ids", 1 << 22):
             ids = np.frombuffer(b"".join(x.as_py() or b"" for x in batch.column("ids")), "<u4")
             found = np.bincount(ids, minlength=len(total))
             found[:len(total)] += total
