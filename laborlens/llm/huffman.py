@@ -11,17 +11,17 @@ decoded in step, one table lookup for each id. The code lengths lie in a file of
 from __future__ import annotations
 
 import gc
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laborlens.llm.bpe import byte_letters, make_room
+from laborlens.llm.bpe import byte_letters
 from laborlens.llm.common import Scratch, pieces
 
 MAX_BITS = 20
@@ -30,7 +30,7 @@ MAGIC, END = b"HFB1", "HFBE"
 HEADER = "<IIIIQ"
 BUCKET_IDS = 4_000_000    # ids of one bucket of neighbouring documents
 BLOCK_BYTES = 1 << 20
-CACHE = 160_000           # chunks, and words, that a worker remembers
+CACHE = 250_000           # words, and other chunks, that a worker remembers
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -128,7 +128,7 @@ class WordEncoder:
     """ids of a tokenizer file that lower-cases and drops white space, word by word from a memory.
 
     Cutting at ASCII white space is safe for such a file: neither its normal form nor a token crosses it.
-    Bare words of letters below U+0250 are remembered without their case and the marks after them.
+    Words of letters below U+0250 are remembered without their case and the marks after them.
     """
 
     def __init__(self, path: str):
@@ -137,13 +137,13 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.chunks: dict[bytes, bytes] = {}
         self.bare: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>")
                               for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))])
         self.quick = Tokenizer(self.tokenizer.model)            # words that need no normal form or cutting
         self.quick.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.shape = re.compile(r"([A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+)([.,;:!?|%&$#*-]*)\Z")
+        self.shape = r"\A(?P<word>[A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+)(?P<tail>[.,;:!?|%&$#*-]*)\z"
 
     def _learn(self, words: set[str]) -> None:
         new = sorted(words.difference(self.bare))
@@ -158,34 +158,49 @@ class WordEncoder:
             for word, i, j in zip(part, [0, *cut[:-1].tolist()], cut.tolist()):
                 self.bare[word] = ids[4 * i:4 * j]
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        cut = [t.split() for t in texts]
-        asked: set[bytes] = set()
-        asked.update(*cut)
-        make_room(self.chunks, len(asked.difference(self.chunks)), CACHE)
-        make_room(self.bare, 0, CACHE)
-        split, odd, bare, tails = [], [], set(), set()
-        for chunk in asked.difference(self.chunks):
-            text = chunk.decode()
-            if found := self.shape.match(text):
-                word, tail = found.groups()
-                word = word.lower()
-                split.append((chunk, word, tail))
-                bare.add(word)
-                tails.add(tail)
-            else:
-                odd.append((chunk, text))
-        self._learn(bare)
-        tail_ids = {t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in tails}
-        for chunk, word, tail in split:
-            self.chunks[chunk] = self.bare[word] + tail_ids[tail]
-        for (chunk, _), e in zip(odd, self.tokenizer.encode_batch_fast([t for _, t in odd], add_special_tokens=False)):
-            self.chunks[chunk] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(self.chunks.__getitem__, c)) for c in cut]
-        for chunk, _ in odd:
+    def _ids_of(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different chunks, one after the other, and how many each has."""
+        shape = pc.extract_regex(chunks, self.shape)
+        words = pc.utf8_lower(shape.field("word").filter(shape.is_valid())).dictionary_encode()
+        tails = shape.field("tail").filter(shape.is_valid()).dictionary_encode()
+        asked = [words.dictionary.to_pylist(), tails.dictionary.to_pylist(), chunks.filter(shape.is_null()).to_pylist()]
+        self._learn(set(asked[0]))
+        new = [c for c in {*asked[1], *asked[2]} if c not in self.odd]
+        for chunk, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self.odd[chunk] = np.array(e.ids, "<u4").tobytes()
+        found = [memory[c] for memory, part in zip((self.bare, self.odd, self.odd), asked) for c in part]
+        for memory in (self.bare, self.odd):
+            while len(memory) > CACHE:
+                memory.popitem()
+        for chunk in new:
             if len(chunk) > 200:
-                del self.chunks[chunk]
-        return out
+                self.odd.pop(chunk, None)
+        empty = len(found)          # a chunk is a word and its tail, or an odd chunk and nothing
+        pair = np.full((len(chunks), 2), empty)
+        is_word = shape.is_valid().to_numpy(zero_copy_only=False)
+        pair[is_word, 0] = words.indices.to_numpy()
+        pair[is_word, 1] = tails.indices.to_numpy() + len(asked[0])
+        pair[~is_word, 0] = np.arange(empty - len(asked[2]), empty)
+        size = np.append(np.fromiter(map(len, found), np.int64, empty) // 4, 0)
+        ids = _take_runs(np.frombuffer(b"".join(found), "<u4"), size, pair.ravel())
+        return ids, size[pair].sum(axis=1)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (NULL: none), one text after the other, and how many each has."""
+        cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        chunks = cut.flatten().dictionary_encode()
+        table, size = self._ids_of(chunks.dictionary)
+        which = chunks.indices.to_numpy()
+        end = np.append(0, np.cumsum(size[which]))
+        last = end[np.cumsum(pc.list_value_length(cut).to_numpy())]
+        return _take_runs(table, size, which), np.diff(np.append(0, last))
+
+
+def _take_runs(table: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Runs of a table (size[i] values each, one after the other), in the order that ``which`` names them."""
+    count = size[which]
+    end = np.cumsum(count)
+    return table[np.repeat((np.cumsum(size) - size)[which] - (end - count), count) + np.arange(count.sum())]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -202,11 +217,15 @@ def word_encoder(path: str) -> WordEncoder:
 def tokenize(docs: DataFrame, tokenizer: str, end: int, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (binary, little-endian 32 bits) with ``end`` appended."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = np.array([end], "<u4").tobytes()
-        for batch in pieces(batches, "text", 1 << 20):
-            ids = [x + tail for x in word_encoder(tokenizer).encode([(t.as_py() or "").encode() for t in batch.column("text")])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()),
-                                              pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        for batch in pieces(batches, "text", 1 << 22):
+            ids, count = word_encoder(tokenizer).encode(batch.column("text"))
+            ids = np.insert(ids, np.cumsum(count), end).astype("<u4")
+            count = count + 1
+            edge = np.append(0, np.cumsum(count))
+            data = memoryview(ids).cast("B")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(
+                [data[4 * a:4 * b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())], pa.binary())],
+                ["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col(id_).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         run, "doc_id long, n_tokens long, ids binary")
@@ -248,7 +267,7 @@ def write_ids(tokens: DataFrame, path: str) -> None:
     bounds = sorted(set(tokens.approxQuantile("doc_id", share, 0.1 / buckets))) if share else []
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "ids", 1 << 22):
+        for batch in pieces(batches, "ids", 1 << 20):
             count = batch.column("n_tokens").to_numpy()
             ids = np.frombuffer(b"".join(x.as_py() for x in batch.column("ids")), "<u4")
             payload, end, inside = encode_rows(ids, count, lengths, codes)
