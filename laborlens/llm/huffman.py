@@ -217,7 +217,7 @@ def word_encoder(path: str) -> WordEncoder:
 def tokenize(docs: DataFrame, tokenizer: str, end: int, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (binary, little-endian 32 bits) with ``end`` appended."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 1 << 22):
+        for batch in pieces(batches, "text", 1 << 21):
             ids, count = word_encoder(tokenizer).encode(batch.column("text"))
             ids = np.insert(ids, np.cumsum(count), end).astype("<u4")
             count = count + 1
@@ -378,13 +378,6 @@ def id_file_report(docs: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:
     write_ids(tokens, scratch.path("files"))
     scratch.drop("tokens")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = [zlib.crc32(x.as_py()) for x in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sums, pa.int64())],
-                                             [*batch.schema.names[:4], "ids_crc32"])
-
-    read = scratch.save(read_blocks(spark, scratch.path("files")).mapInArrow(
-        check, "bucket int, doc_id long, start long, n_tokens long, ids_crc32 long"), "read")
+    read = scratch.save(read_blocks(spark, scratch.path("files")).withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "read")
     return with_starts(read, read.groupBy("bucket").agg(F.sum("n_tokens").alias("n"))) \
         .select("doc_id", "start", "n_tokens", "ids_crc32")
