@@ -74,7 +74,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The rows in batches of about ``limit`` text bytes; a longer text comes alone and whole.
 
-    Arrow keeps the memory of former batches; it goes back after each, as the executor's other tasks need it.
+    Arrow keeps the memory of former pieces; it goes back after each, as the executor's other tasks need it.
     """
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -83,8 +83,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 21)
         while lo < batch.num_rows:
             hi = max(lo + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(lo, hi - lo)
+            pa.default_memory_pool().release_unused()
             lo, before = hi, int(ends[hi - 1])
-        pa.default_memory_pool().release_unused()
 
 
 def components(scratch: Scratch, edges: DataFrame, keep: str = "components") -> DataFrame:
