@@ -1,15 +1,19 @@
 """WARC archives with revisit records: digests meet in a shuffle of headers, payloads are written once.
 
 Writing: headers (id, digest, length) are grouped by digest, each later copy is joined to the
-original, and the text writer emits the archives, whose record separator is WARC's own CRLF CRLF.
-Reading: whole files of bounded size are parsed inside the tasks, revisits are joined to responses.
+original, and the text writer emits the archives, whose record separator is WARC's own CRLF CRLF,
+as gzip files. Reading: files are parsed as streams inside the tasks, one record in memory at a
+time, and revisits are joined to responses.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,7 +60,7 @@ def _record_id(page_id: Column, digest: Column) -> Column:
 
 def write_archives(pages: DataFrame, path: str, as_of: str = "2024-01-01T00:00:00Z", min_bytes: int = 0,
                    record: str = "payload") -> None:
-    """Write page_id, url and ``record`` (NULL: empty) as WARC files of at most FILE_ROWS records.
+    """Write page_id, url and ``record`` (NULL: empty) as gzipped WARC files of at most FILE_ROWS records.
 
     Responses hold the payload behind an HTTP header, revisits only headers that name the original.
     Control characters and spaces of a URL are percent-encoded; a NULL URL is 'about:blank'.
@@ -84,31 +88,34 @@ def write_archives(pages: DataFrame, path: str, as_of: str = "2024-01-01T00:00:0
                            F.concat(F.lit("Content-Length: "), (F.length(http) + size).cast("string")))
     text = F.when(F.col("refers_to").isNotNull(), F.concat(revisit, F.lit(END))) \
         .otherwise(F.concat(response, F.lit(END), http, F.col("payload")))
-    joined.select(text.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", FILE_ROWS).text(path)
+    joined.select(text.alias("value")).write.option("lineSep", END).option("compression", "gzip") \
+        .option("maxRecordsPerFile", FILE_ROWS).text(path)
 
 
-def parse(content: bytes) -> Iterator[tuple]:
+def parse(stream: BinaryIO) -> Iterator[tuple]:
     """(page_id, type, payload bytes, digest, original's record id, url, payload) of the records of one file."""
-    at = 0
-    while at < len(content):
-        head = content.index(b"\r\n\r\n", at)
-        lines = content[at:head].decode("utf-8").split("\r\n")
-        if lines[0] != VERSION:
-            raise ValueError(f"no record starts at byte {at}")
-        field = dict(line.split(": ", 1) for line in lines[1:])
-        length = int(field["Content-Length"])
-        block = content[head + 4:head + 4 + length]
-        if content[head + 4 + length:head + 8 + length] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} does not end where its length says")
+    number = 0
+    while line := stream.readline():
+        if line != VERSION.encode() + b"\r\n":
+            raise ValueError(f"record {number} does not start with the version")
+        field = {}
+        while (line := stream.readline()) != b"\r\n":
+            if not line:
+                raise ValueError(f"the file ends in the header of record {number}")
+            name, value = line.decode("utf-8").removesuffix("\r\n").split(": ", 1)
+            field[name] = value
+        block = stream.read(int(field["Content-Length"]))
+        if stream.read(4) != b"\r\n\r\n":
+            raise ValueError(f"record {number} does not end where its length says")
         digest, id_ = field["WARC-Payload-Digest"].removeprefix("sha1:"), field["X-Page-ID"].strip()
         payload = None
         if field["WARC-Type"] == "response":
             payload = block[block.index(b"\r\n\r\n") + 4:]
             if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-                raise ValueError(f"the payload of the record at byte {at} is damaged")
+                raise ValueError(f"the payload of record {number} is damaged")
         yield (int(id_) if id_ else None, field["WARC-Type"], None if payload is None else len(payload), digest,
                digest if payload is None else None, field["WARC-Target-URI"], payload)
-        at = head + 8 + length
+        number += 1
 
 
 def _parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +129,7 @@ def _parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
             rows, held = [], 0
-            for record in parse(content.as_py()):
+            for record in parse(gzip.open(io.BytesIO(content.as_py()))):
                 rows.append(record)
                 held += record[2] or 0
                 if held > 1 << 22 or len(rows) >= 5000:
