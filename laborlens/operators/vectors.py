@@ -16,9 +16,10 @@ from laborlens import vocab
 from laborlens.functions.labels import similarity
 from laborlens.functions.text import clean_text, terms
 from laborlens.operators.filters import fresh, is_expired
-from laborlens.session import at_most
+from laborlens.session import cut_lineage
 
-QUERY_BLOCK = 4096       # query vectors held by a task at once
+QUERY_BLOCK, ITEM_BLOCK = 4096, 16_384      # vectors of either side that a task holds
+QUERIES_AT_ONCE = 256
 _MATCH = "query_id long, item_id long, distance double"
 
 
@@ -71,52 +72,70 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
 
-def _nearest(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """Best k of each Arrow batch for one block of queries, by one matrix product."""
-    block = queries.select("query_id", "embedding").toPandas()
-    if block.empty:
-        return corpus.sparkSession.createDataFrame([], _MATCH)
-    ids, wanted = block["query_id"].to_numpy(), _unit_rows(_matrix(block["embedding"]))
-
-    def run(batches):
-        for batch in batches:
-            if batch.empty:
-                continue
-            items = batch["item_id"].to_numpy()
-            distance = 1.0 - wanted @ _unit_rows(_matrix(batch["embedding"])).T
-            distance = distance.round(9)
-            # ties go to the smaller id, so order by (distance, id)
-            order = np.lexsort((np.broadcast_to(items, distance.shape), distance), axis=1)[:, :k]
-            yield pd.DataFrame({
-                "query_id": np.repeat(ids, order.shape[1]),
+def _cell(k: int):
+    """Best k of a block of items for each query of a block, by matrix products."""
+    def run(queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
+        if queries.empty or corpus.empty:
+            return pd.DataFrame({name: [] for name in ("query_id", "item_id", "distance")})
+        corpus = corpus.sort_values("item_id")
+        items, unit = corpus["item_id"].to_numpy(), _unit_rows(_matrix(corpus["embedding"])).T
+        found = []
+        for lo in range(0, len(queries), QUERIES_AT_ONCE):
+            part = queries.iloc[lo:lo + QUERIES_AT_ONCE]
+            distance = (1.0 - _unit_rows(_matrix(part["embedding"])) @ unit).round(9)
+            # items are in order, so a stable sort gives ties to the smaller id
+            order = np.argsort(distance, axis=1, kind="stable")[:, :k]
+            found.append(pd.DataFrame({
+                "query_id": np.repeat(part["query_id"].to_numpy(), order.shape[1]),
                 "item_id": items[order].ravel(),
                 "distance": np.take_along_axis(distance, order, axis=1).ravel(),
-            })
-    return corpus.select("item_id", "embedding").mapInPandas(run, _MATCH)
+            }))
+        return pd.concat(found)
+    return run
+
+
+def with_vector(rows: DataFrame) -> DataFrame:
+    """Rows whose embedding is not NULL or empty and holds no NULL or non-finite component."""
+    return rows.where("size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL "
+                      "AND NOT isnan(x) AND abs(x) < double('infinity'))")
 
 
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 4,
                 block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, item_id, distance, rank): the k nearest items by cosine distance, exact.
 
-    Queries (query_id, embedding) go to the tasks in blocks of bounded size, the corpus
-    (item_id, embedding) is never shuffled: each batch of it yields k rows per query.
-    Every further block is one more pass over the corpus.
+    Blocks of queries (query_id, embedding) meet blocks of the corpus (item_id, embedding):
+    each cell of that grid is one bounded task that yields k rows per query, and no vector
+    passes through the driver. The corpus is sent once for every ``block`` queries. A row
+    without a usable vector is near nothing; a vector meets those of its own length.
     """
-    # a row without a vector is near nothing
-    queries, corpus = (df.where("embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL)")
-                       for df in (queries, corpus))
-    blocks = 1 if at_most(queries, block) else math.ceil(queries.count() * 2 / block)
-    found = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(
-            F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        near = _nearest(part, corpus, k)
-        found = near if found is None else found.unionByName(near)
+    queries = cut_lineage(with_vector(queries.select("query_id", "embedding")), "query-vectors")
+    corpus = with_vector(corpus.select("item_id", "embedding"))
+    across = max(1, math.ceil(queries.count() / block))
+    down = max(1, math.ceil(corpus.count() / ITEM_BLOCK))
+
+    def dealt(rows, key, own, own_blocks, other, other_blocks):
+        every = F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1)))
+        return (rows.withColumn("dims", F.size("embedding"))
+                .withColumn(own, F.pmod(F.xxhash64(key), F.lit(own_blocks)).cast("int"))
+                .withColumn(other, every).groupBy("dims", "q", "c"))
+    left = dealt(queries, "query_id", "q", across, "c", down)
+    right = dealt(corpus, "item_id", "c", down, "q", across)
+    found = left.cogroup(right).applyInPandas(_cell(k), _MATCH)
     w = W.partitionBy("query_id").orderBy("distance", "item_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def search_questions(questions: DataFrame, corpus: DataFrame, k: int = 4, text: str = "text",
+                     embed=hashing_embed) -> DataFrame:
+    """(query_id, item_id, distance, rank) for questions (query_id, text), embedded as queries.
+
+    ``embed(df, text_column, prefix=...)`` adds the embedding column, as for the corpus.
+    """
+    asked = embed(questions, text, prefix="query: ")
+    return vector_topk(asked, corpus, k)
+
+
 # --- retrieval context ------------------------------------------------------------------
 
 def history_tail(turns: DataFrame, last: int = vocab.HISTORY_TURNS) -> DataFrame:

@@ -311,7 +311,7 @@ def _prototypes(spark, d):
 
 def _nearest(spark, d, k=4):
     corpus = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
-    return vectors.vector_topk(_prototypes(spark, d), spread(corpus, "item_id"), k)
+    return vectors.vector_topk(_prototypes(spark, d), corpus, k)
 
 
 NEAREST = """
@@ -332,6 +332,14 @@ def vector_topk(spark, d):
                        F.col("rank").cast("long").alias("rank"))
 
 
+@query("question_search")
+def question_search(spark, d):
+    """The benchmark items asked as questions of all documents, both with the default embedding."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    documents = spread(table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text"), "item_id")
+    return vectors.search_questions(asked, vectors.hashing_embed(documents, "text"))
+
+
 # --- conversations ----------------------------------------------------------------------
 
 @query("chat_history_tail", """

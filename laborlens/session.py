@@ -1,4 +1,4 @@
-"""Session helpers: settings, shared scratch folder, size checks."""
+"""Session helpers: settings, shared scratch folder, spreading of small scans."""
 
 from __future__ import annotations
 
@@ -55,11 +55,6 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether a frame has no more than ``rows`` rows; reads at most ``rows + 1`` of them."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     """Use all cores on a scan that yields fewer splits than cores; leave big scans alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism

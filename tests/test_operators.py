@@ -282,6 +282,27 @@ def test_vector_topk_equals_brute_force(spark, block):
         assert found[q] == [i for _, i in want]
 
 
+def test_vector_topk_odd_rows(spark):
+    corpus = spark.createDataFrame(
+        [(1, [1.0, 0.0], "x"), (2, None, "x"), (3, [], "x"), (4, [1.0, None], "x"), (5, [float("nan"), 1.0], "x"),
+         (6, [float("inf"), 1.0], "x"), (7, [1.0, 0.0, 0.0], "x"), (8, [2.0, 0.0], "x"), (1, [1.0, 0.0], "x")],
+        "item_id long, embedding array<float>, distance string")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0, 1.0])], "query_id long, embedding array<float>")
+    got = sorted(map(tuple, vectors.vector_topk(asked, corpus, 2).collect()))
+    assert got == [(1, 1, 0.0, 1), (1, 1, 0.0, 2), (3, 7, 1.0, 1)]
+    assert vectors.vector_topk(asked, corpus.limit(0)).count() == vectors.vector_topk(asked.limit(0), corpus).count() == 0
+
+
+def test_search_questions(spark):
+    texts = [(1, "spark engineer wanted"), (2, "pastry chef"), (3, "data engineer spark"), (4, "")]
+    index = vectors.hashing_embed(spark.createDataFrame(texts, "item_id long, text string"), "text", dims=1 << 12)
+    asked = spark.createDataFrame([(9, "spark engineer"), (8, "chef")], "query_id long, text string")
+    got = vectors.search_questions(asked, index, 1, embed=lambda df, text, prefix: vectors.hashing_embed(
+        df, text, dims=1 << 12, prefix=prefix))
+    # each text also holds the word of its prefix, so the shorter of two equal matches is nearer
+    assert {(r.query_id, r.item_id) for r in got.collect()} == {(9, 1), (8, 2)}
+
+
 def test_hashing_embed(spark):
     df = vectors.hashing_embed(spark.createDataFrame([("Data Engineer data",), ("",)], "t string"), "t", dims=64)
     vecs = [r.embedding for r in df.collect()]
