@@ -66,11 +66,11 @@ class Block:
         order = np.lexsort((self.grams, often))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        for item in np.unique(self.item):
-            here = np.flatnonzero(self.item == item)
-            for lo in range(max(1, len(here) - RUN + 1)):
-                window = here[lo:lo + RUN]
-                chosen[window[rank[window].argmin()]] = True
+        start = np.flatnonzero(np.diff(self.item, prepend=-1))         # grams lie in order of their items
+        for a, b in zip(start.tolist(), np.append(start[1:], len(rank)).tolist()):
+            for lo in range(a, max(a + 1, b - RUN + 1)):
+                window = rank[lo:min(lo + RUN, b)]
+                chosen[lo + window.argmin()] = True
         order = np.argsort(self.grams[chosen], kind="stable")
         self.seeds, self.seed_item, self.seed_place = (x[chosen][order] for x in (self.grams, self.item, self.place))
 
