@@ -110,9 +110,9 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 4,
     without a usable vector is near nothing; a vector meets those of its own length.
     """
     queries = cut_lineage(with_vector(queries.select("query_id", "embedding")), "query-vectors")
-    corpus = with_vector(corpus.select("item_id", "embedding"))
     across = max(1, math.ceil(queries.count() / block))
-    down = max(1, math.ceil(corpus.count() / ITEM_BLOCK))
+    down = max(1, math.ceil(corpus.select("item_id").count() / ITEM_BLOCK))    # needs no vectors
+    corpus = with_vector(corpus.select("item_id", "embedding"))
 
     def dealt(rows, key, own, own_blocks, other, other_blocks):
         every = F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1)))
