@@ -1,9 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds join texts to items, Smith-Waterman scores the pairs.
-
-Every window of RUN consecutive n-grams of an item gives its rarest one (by the corpus counts) as a
-seed, so any copy keeps a seed wherever SEED + RUN - 1 words in a row are unedited, however often
-the passage occurs. Texts are never shuffled: blocks of items, bounded in rows and bytes, go to the
-tasks. Around the seeds a local alignment of the item's words decides.
+"""Benchmark decontamination: word pairs join texts to items, Smith-Waterman scores the pairs.
+
+A good pair is two neighbouring words of an item that a text has with at most one word between them.
+Of n words let an alignment match m, with a score 2m - e >= n. Of its m - 1 gaps, those that skip
+words of the item are at most n - m and cost 1 each, those with two or more added words cost 2 each, all
+others are good pairs: at least n / 3 - 1 of them. So a text that reaches LEAST_SCORE has that many
+within 2n words, wherever its edits are; of the item's pairs the commonest (by the corpus counts) half of
+that number is left out, and the rest must still hold the other half. Texts are never shuffled: blocks
+of items, bounded in rows and bytes, go to the tasks. Around the seeds a local alignment of the
+item's words decides.
 """
 
 from __future__ import annotations
@@ -16,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laborlens.llm.common import flat, pieces
-from laborlens.llm.words import MARKS, Words, grams, mix, words
+from laborlens.llm.words import MARKS, Words, mix, words
 
-SEED, RUN = 3, 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.5         # alignment score of a hit, as a share of the item's own
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
+HITS = 1 << 22            # seeds found that are held at once, if one text has no more
 KNOWN = 50_000            # windows whose score a task remembers
 FOUND = "doc_id long, item_id long, score double, first_word long, last_word long"
 
@@ -41,6 +45,15 @@ def smith_waterman(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def least_pairs(size: np.ndarray) -> np.ndarray:
+    """Good pairs that any copy of an item of ``size`` words with half of its score has, but 1 at least."""
+    return np.maximum(1, -(-size // 3) - 1)
+
+
+def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(first * np.uint64(0xD6E8FEB86659FD93) + second)
+
+
 class Block:
     """The items of one block: their words, and seeds sorted by hash with item and place."""
 
@@ -49,77 +62,98 @@ class Block:
         data = np.frombuffer(b"".join(texts), np.uint8)
         w = words(data, np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64), space=MARKS)
         self.words = [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:])]
-        short = np.flatnonzero((np.diff(w.first) > 0) & (np.diff(w.first) < SEED))
+        self.size = np.diff(w.first)
         self.vocabulary = np.unique(w.hash)
-        self.grams, at = grams(w, SEED)
-        self.item, self.place = w.doc[at], at - w.first[w.doc[at]]
-        # items too short for a seed are found by their first word
-        self.short = {int(w.hash[w.first[i]]): [] for i in short}
-        for i in short:
-            self.short[int(w.hash[w.first[i]])].append(int(i))
+        near, size = np.arange(max(0, len(w.hash) - 1)), self.size[w.doc] if len(w.doc) else np.zeros(0, np.int64)
+        near = near[(w.doc[near] == w.doc[near + 1]) & (size[near] > 2)]
+        # of three words, one of which is edited, the outer two may be all that is left
+        outer = w.first[:-1][self.size == 3]
+        self.grams = np.append(_pair(w.hash[near], w.hash[near + 1]), _pair(w.hash[outer], w.hash[outer + 2]))
+        self.item = w.doc[np.append(near, outer)]
+        # half the score of one or two words is one word
+        self.short: dict[int, list[int]] = {}
+        for i in np.flatnonzero((self.size > 0) & (self.size < 3)).tolist():
+            for word in set(self.words[i].tolist()):
+                self.short.setdefault(word, []).append(i)
+        self.short_words = np.array(sorted(self.short), np.uint64)
         self.asked = np.unique(self.grams)
+        self.choose(np.zeros(len(self.asked), np.int64))
 
-    def choose(self, count: np.ndarray) -> None:
-        """Keep the rarest gram of each window; count belongs to ``asked``."""
+    def choose(self, count: np.ndarray, all_: bool = False) -> None:
+        """Leave out the commonest pairs of each item, as many as a copy can spare; count belongs to ``asked``."""
+        need = np.ones(len(self.size), np.int64) if all_ else least_pairs(self.size)
+        spare = need // 2
         often = count[np.searchsorted(self.asked, self.grams)]
-        chosen = np.zeros(len(self.grams), bool)
-        order = np.lexsort((self.grams, often))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        start = np.flatnonzero(np.diff(self.item, prepend=-1))         # grams lie in order of their items
-        for a, b in zip(start.tolist(), np.append(start[1:], len(rank)).tolist()):
-            for lo in range(a, max(a + 1, b - RUN + 1)):
-                window = rank[lo:min(lo + RUN, b)]
-                chosen[lo + window.argmin()] = True
-        order = np.argsort(self.grams[chosen], kind="stable")
-        self.seeds, self.seed_item, self.seed_place = (x[chosen][order] for x in (self.grams, self.item, self.place))
+        order = np.lexsort((self.grams, -often, self.item))
+        item = self.item[order]
+        place = np.arange(len(order)) - np.searchsorted(item, item)        # 0: the commonest of its item
+        kept = order[place >= spare[item]]
+        kept = kept[np.argsort(self.grams[kept], kind="stable")]
+        self.seeds, self.seed_item, self.need = self.grams[kept], self.item[kept], need - spare
 
     def seen(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Grams of a text whose words all occur in the items: hashes and first words."""
+        """Pairs of a text with at most one word between whose words occur in the items: hashes and first words."""
         if not len(self.vocabulary):
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         at = np.searchsorted(self.vocabulary, w.hash).clip(max=len(self.vocabulary) - 1)
         good = self.vocabulary[at] == w.hash
-        n = len(good) - SEED + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        all_ = np.logical_and.reduce([good[i:i + n] for i in range(SEED)]) & (w.doc[:n] == w.doc[SEED - 1:])
-        at = np.flatnonzero(all_)
-        h = np.zeros(len(at), np.uint64)
-        for i in range(SEED):
-            h = h * np.uint64(0xD6E8FEB86659FD93) + w.hash[at + i]
-        return mix(h), at
+        hashes, first = [], []
+        for step in (1, 2):
+            n = max(0, len(good) - step)
+            at = np.flatnonzero(good[:n] & good[step:] & (w.doc[:n] == w.doc[step:]))
+            hashes.append(_pair(w.hash[at], w.hash[at + step]))
+            first.append(at)
+        return np.concatenate(hashes), np.concatenate(first)
 
     def count(self, w: Words, total: np.ndarray) -> None:
         h, _ = self.seen(w)
-        if len(h):
+        if len(h) and len(self.asked):
             at = np.searchsorted(self.asked, h).clip(max=len(self.asked) - 1)
             total += np.bincount(at[self.asked[at] == h], minlength=len(total))
 
     def hits(self, w: Words) -> Iterator[tuple[int, int, int, int]]:
-        """(row, item, first word, last word) of windows that hold two seeds of an item, or its only one."""
+        """(row, item, first word, last word) of windows that hold as many seeds of an item as a copy must."""
         h, at = self.seen(w)
         lo, hi = np.searchsorted(self.seeds, h, "left"), np.searchsorted(self.seeds, h, "right")
-        n = hi - lo
-        seed = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        where = np.repeat(at, n)
-        row, item, place = w.doc[where], self.seed_item[seed], self.seed_place[seed]
-        order = np.lexsort((where, item, row))
-        row, item, where, place = row[order], item[order], where[order], place[order]
-        size = np.array([len(x) for x in self.words])
-        if len(row):
-            new = np.append(True, (np.diff(row) != 0) | (np.diff(item) != 0) | (np.diff(where) > size[item[1:]]))
-            start = np.flatnonzero(new)
-            end = np.append(start[1:], len(row))
-            for a, b in zip(start.tolist(), end.tolist()):
-                i = int(item[a])
-                if len(np.unique(place[a:b])) >= 2 or size[i] < SEED + RUN:
-                    yield int(row[a]), i, int(where[a]) - int(size[i]), int(where[b - 1]) + int(size[i]) + SEED
+        found = np.flatnonzero(hi > lo)
+        found = found[np.argsort(at[found], kind="stable")]
+        lo, n, at = lo[found], (hi - lo)[found], at[found]
+        row, total = w.doc[at], np.cumsum(n)
+        a = 0
+        while a < len(at):
+            # whole texts, with HITS seeds or one text's
+            b = int(np.searchsorted(total, (total[a - 1] if a else 0) + HITS, "right"))
+            if b < len(at):
+                cut = int(np.searchsorted(row, row[b]))
+                b = cut if cut > a else int(np.searchsorted(row, row[b], "right"))
+            yield from self._windows(w, at[a:b], lo[a:b], n[a:b])
+            a = b
         if self.short:
-            first = np.isin(w.hash, np.array(list(self.short), np.uint64))
-            for p in np.flatnonzero(first).tolist():
+            for p in np.flatnonzero(np.isin(w.hash, self.short_words)).tolist():
                 for i in self.short[int(w.hash[p])]:
-                    yield int(w.doc[p]), i, p, p + len(self.words[i])
+                    yield int(w.doc[p]), i, p - 3, p + 4
+
+    def _windows(self, w: Words, at: np.ndarray, lo: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        item = self.seed_item[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        where = np.repeat(at, n)
+        order = np.lexsort((where, item, w.doc[where]))
+        item, where = item[order], where[order]
+        new = np.append(True, (np.diff(item) != 0) | (np.diff(where) != 0)) if len(where) else np.zeros(0, bool)
+        item, where = item[new], where[new]
+        row, span = w.doc[where], 2 * self.size[item]
+        last = np.arange(len(where)) + self.need[item] - 1
+        held = last < len(where)
+        last = last.clip(max=max(0, len(where) - 1))
+        held &= (row[last] == row) & (item[last] == item) & (where[last] - where <= span)
+        row, item, first, last, span = row[held], item[held], where[held], where[last[held]], span[held]
+        if not len(row):
+            return
+        # windows that touch are one
+        new = np.append(True, (np.diff(row) != 0) | (np.diff(item) != 0) | (np.diff(first) > span[1:]))
+        start = np.flatnonzero(new)
+        end = np.append(start[1:], len(row)) - 1
+        for a, b in zip(start.tolist(), end.tolist()):
+            yield int(row[a]), int(item[a]), int(first[a] - span[a]), int(last[b] + span[a]) + 2
 
 
 def _blocks(items: DataFrame) -> Iterator[Block]:
@@ -163,7 +197,7 @@ def _scan(rows: DataFrame, block: Block, least: float) -> DataFrame:
     often = np.zeros(len(block.asked), np.int64)
     for r in rows.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         often[r["gram"]] = r["n"]
-    block.choose(often)
+    block.choose(often, all_=least < LEAST_SCORE)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple[int, bytes], tuple[int, int]] = {}
