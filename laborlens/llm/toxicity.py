@@ -109,17 +109,25 @@ def _fit(row: np.ndarray, value: np.ndarray, grade: np.ndarray, sparsity: float)
     return Ordinal(known[used], (w * scale)[used], theta + middle @ w)
 
 
+def labelled(docs: DataFrame, grades: DataFrame, rows: int, id_: str = "doc_id", text: str = "text",
+             grade: str = "grade") -> DataFrame:
+    """label_id, grade, text of at most ``rows`` ids: one row for each, of several texts the one with the smallest hash."""
+    picked = (grades.where(F.col(id_).isNotNull() & F.col(grade).isNotNull())
+              .groupBy(F.col(id_).alias("label_id")).agg(F.max(grade).cast("int").alias("grade"))
+              .orderBy(F.xxhash64("label_id"), "label_id").limit(rows))
+    texts = docs.select(F.col(id_).alias("label_id"), F.col(text).alias("text"))
+    sample = texts.join(F.broadcast(picked) if rows <= 1_000_000 else picked, "label_id")
+    return sample.groupBy("label_id", "grade").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least")) \
+        .select("label_id", "grade", "least.text")
+
+
 def train(docs: DataFrame, grades: DataFrame, rows: int = SAMPLE_ROWS, id_: str = "doc_id", text: str = "text",
           grade: str = "grade") -> Ordinal:
     """Fit on at most ``rows`` labelled texts, those with the smallest hash of the id.
 
-    Rows with a NULL id or grade do not count; a repeated id has its largest grade.
+    Rows with a NULL id or grade do not count; a repeated id has its largest grade and one of its texts.
     """
-    picked = (grades.where(F.col(id_).isNotNull() & F.col(grade).isNotNull())
-              .groupBy(F.col(id_).alias("label_id")).agg(F.max(grade).cast("int").alias("grade"))
-              .orderBy(F.xxhash64("label_id"), "label_id").limit(rows))
-    sample = docs.select(F.col(id_).alias("label_id"), F.col(text).alias("text")).join(F.broadcast(picked), "label_id") \
-        if rows <= 1_000_000 else docs.select(F.col(id_).alias("label_id"), F.col(text).alias("text")).join(picked, "label_id")
+    sample = labelled(docs, grades, rows, id_, text, grade)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -141,7 +149,7 @@ def train(docs: DataFrame, grades: DataFrame, rows: int = SAMPLE_ROWS, id_: str
         yield pa.RecordBatch.from_arrays([pa.array([model.words.tobytes()]), pa.array([model.weights.tobytes()]),
                                           pa.array([model.thresholds.tobytes()])], ["words", "weights", "thresholds"])
 
-    features = sample.select("label_id", "grade", "text").mapInArrow(extract, "label_id long, grade int, words array<long>")
+    features = sample.mapInArrow(extract, "label_id long, grade int, words array<long>")
     found = features.repartition(1).mapInArrow(fit, "words binary, weights binary, thresholds binary").first()
     if found is None:
         return Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.full(1, np.inf))
