@@ -64,15 +64,16 @@ def write_archives(pages: DataFrame, path: str, as_of: str = "2024-01-01T00:00:0
 
     Responses hold the payload behind an HTTP header, revisits only headers that name the original.
     Control characters and spaces of a URL are percent-encoded; a NULL URL is 'about:blank'.
-    Repeated ids are each written. An empty table writes no record.
+    Repeated ids are each written, with different payloads too. An empty table writes no record.
     """
     rows = pages.select("page_id", F.coalesce("url", F.lit("about:blank")).alias("url"),
                         F.coalesce(record, F.lit("")).alias("payload"))
     size = F.octet_length("payload").cast("long")
     headers = rows.select("page_id", payload_digest(F.col("payload")).alias("digest"), size.alias("payload_bytes"))
     revisits = resolve_revisits(headers, min_bytes).where("refers_to is not null") \
-        .groupBy("page_id").agg(F.min("refers_to").alias("refers_to"))
-    joined = rows.join(revisits, "page_id", "left").withColumn("digest", payload_digest(F.col("payload")))
+        .groupBy("page_id", "digest").agg(F.min("refers_to").alias("refers_to"))
+    # an id may come with several payloads, each with its own role
+    joined = rows.withColumn("digest", payload_digest(F.col("payload"))).join(revisits, ["page_id", "digest"], "left")
     safe = F.regexp_replace(F.regexp_replace("url", r"[\r\n]+", "%0A"), r"[\x00-\x20\x7F]", "%20")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
                     size.cast("string"), F.lit(END))
