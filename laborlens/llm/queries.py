@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laborlens.llm import bpe, decontaminate, huffman, maxent, simhash, suffix, topk, toxicity, url_filter, warc
+from laborlens.llm import (bpe, decontaminate, huffman, maxent, rotated, simhash, spelling, suffix, topk, toxicity, url_filter,
+                           warc, whitening)
 from laborlens.llm.common import Scratch, table
 
 #: The rules of the URL query: host, path, verdict.
@@ -111,9 +112,66 @@ select page_id, payload_bytes, payload_digest, case when page_id = original then
 """
 
 
+def op11_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotated.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = """
+with recursive v as (
+  select vec_id, label, embedding::double[] as v from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+          where list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(a, b) as (select vec_id, vec_id from embeddings union select r.a, links.b from reach r join links on r.b = links.a),
+component as (select a as vec_id, min(b) as component_id from reach group by a)
+select vec_id, count(links.b) as n_links, any_value(component_id) as component_id, vec_id = any_value(component_id) as kept
+from component left join links on links.a = vec_id group by vec_id
+"""
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
+OP12_SQL = """
+with recursive codes as (
+  select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k:
+              case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as t from range(256) r(i)),
+runs as (select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as times
+         from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as run from documents)
+         where length(run) >= 7 group by all),
+raw as (select *, hex(encode(doc_id || ':' || run)) as x from runs),
+hashed as (select run, times, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(len(x) // 2),
+             lambda i: ('0x' || substr(x, cast(2 * i + 1 as int), 2))::bigint)),
+             lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::bigint) as h from raw, codes),
+cut as (select case when h % 31 = 0 then substr(run, 1, cast(h % length(run) as int)) || substr(run, cast(h % length(run) as int) + 2)
+               else run end as word, times from hashed),
+words as (select word, cast(sum(times) as bigint) as n from cut where length(word) >= 7 group by word having sum(times) >= 2),
+less as (select word, unnest(list_transform(range(length(word) + 1), lambda i: {'at': i, 'rest': case when i = 0 then word
+           else substr(word, 1, cast(i - 1 as int)) || substr(word, cast(i + 1 as int)) end}), recursive := true) from words),
+near as (select distinct a.word, b.word as other from less a join less b on a.rest = b.rest and a.word <> b.word
+         where a.at = b.at or a.at = 0 or b.at = 0),
+best as (select near.word, count(*) as n_near, arg_min(other, (-n, other)) as other, max(n) as other_n
+         from near join words on words.word = other group by near.word),
+formed as (select w.word, n, coalesce(n_near, 0) as n_near, case when other_n >= 10 * n then other end as form,
+                  case when other_n >= 10 * n then other_n end as form_n from words w left join best using (word)),
+follow(word, root) as (select word, word from formed
+                       union all select f.word, g.form from follow f join formed g on g.word = f.root where g.form is not null),
+ends as (select follow.word, root from follow join formed on formed.word = root where form is null)
+select word, form, root, n, n_near, form_n from formed join ends using (word)
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracles() -> dict[str, str]:
-    return {"op5_top_k": OP5_SQL, "op7_url_filter": OP7_SQL, "op10_warc": OP10_SQL}
+    return {"op5_top_k": OP5_SQL, "op7_url_filter": OP7_SQL, "op10_warc": OP10_SQL,
+            "op11_rotated_codes": OP11_SQL, "op12_spelling_variants": OP12_SQL}

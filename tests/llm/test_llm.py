@@ -370,7 +370,7 @@ def test_archives(spark):
 @pytest.mark.parametrize("name", list(queries.oracles()))
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages"):
         con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     want = con.sql(queries.oracles()[name])
     found = queries.queries()[name](spark, SMALL)
