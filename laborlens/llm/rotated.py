@@ -51,8 +51,8 @@ class Bands:
         bit = np.zeros((self.count, BITS), np.uint8)
         np.put_along_axis(bit, chosen, 1, axis=1)
         self.masks = np.packbits(bit, axis=1).view(np.uint64)
-        # more differing bits than a pair at the bound has, by nine standard deviations
-        self.limit = math.ceil(BITS * (1 - same) + 9 * math.sqrt(BITS * same * (1 - same)))
+        # more differing bits than a pair at the bound has, by six standard deviations
+        self.limit = math.ceil(BITS * (1 - same) + 6 * math.sqrt(BITS * same * (1 - same)))
 
     def partners(self, a: np.ndarray, b: np.ndarray, band: int) -> np.ndarray:
         """Which pairs of code rows have few differing bits, and share this band as their first."""
