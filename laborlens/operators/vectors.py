@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -15,12 +11,8 @@ from pyspark.sql import functions as F
 from laborlens import vocab
 from laborlens.functions.labels import similarity
 from laborlens.functions.text import clean_text, terms
+from laborlens.operators import inverted
 from laborlens.operators.filters import fresh, is_expired
-from laborlens.session import cut_lineage
-
-QUERY_BLOCK, ITEM_BLOCK = 4096, 16_384      # vectors of either side that a task holds
-QUERIES_AT_ONCE = 256
-_MATCH = "query_id long, item_id long, distance double"
 
 
 # --- embedding --------------------------------------------------------------------------
@@ -63,67 +55,15 @@ def index_additions(documents: DataFrame, index: DataFrame, as_of=None, reindex:
 
 # --- search -----------------------------------------------------------------------------
 
-def _matrix(column) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in column])
-
-
-def _unit_rows(m: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
-
-
-def _cell(k: int):
-    """Best k of a block of items for each query of a block, by matrix products."""
-    def run(queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or corpus.empty:
-            return pd.DataFrame({name: [] for name in ("query_id", "item_id", "distance")})
-        corpus = corpus.sort_values("item_id")
-        items, unit = corpus["item_id"].to_numpy(), _unit_rows(_matrix(corpus["embedding"])).T
-        found = []
-        for lo in range(0, len(queries), QUERIES_AT_ONCE):
-            part = queries.iloc[lo:lo + QUERIES_AT_ONCE]
-            distance = (1.0 - _unit_rows(_matrix(part["embedding"])) @ unit).round(9)
-            # items are in order, so a stable sort gives ties to the smaller id
-            order = np.argsort(distance, axis=1, kind="stable")[:, :k]
-            found.append(pd.DataFrame({
-                "query_id": np.repeat(part["query_id"].to_numpy(), order.shape[1]),
-                "item_id": items[order].ravel(),
-                "distance": np.take_along_axis(distance, order, axis=1).ravel(),
-            }))
-        return pd.concat(found)
-    return run
-
-
-def with_vector(rows: DataFrame) -> DataFrame:
-    """Rows whose embedding is not NULL or empty and holds no NULL or non-finite component."""
-    return rows.where("size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL "
-                      "AND NOT isnan(x) AND abs(x) < double('infinity'))")
-
-
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 4,
-                block: int = QUERY_BLOCK) -> DataFrame:
+                block: int = inverted.QUERY_BLOCK) -> DataFrame:
     """(query_id, item_id, distance, rank): the k nearest items by cosine distance, exact.
 
-    Blocks of queries (query_id, embedding) meet blocks of the corpus (item_id, embedding):
-    each cell of that grid is one bounded task that yields k rows per query, and no vector
-    passes through the driver. The corpus is sent once for every ``block`` queries. A row
-    without a usable vector is near nothing; a vector meets those of its own length.
+    The corpus (item_id, embedding) is laid out as inverted lists for this call; keep
+    ``inverted.build_lists`` where many searches share a corpus. Queries have query_id and
+    embedding; a row without a usable vector is near nothing; a vector meets those of its length.
     """
-    queries = cut_lineage(with_vector(queries.select("query_id", "embedding")), "query-vectors")
-    across = max(1, math.ceil(queries.count() / block))
-    down = max(1, math.ceil(corpus.select("item_id").count() / ITEM_BLOCK))    # needs no vectors
-    corpus = with_vector(corpus.select("item_id", "embedding"))
-
-    def dealt(rows, key, own, own_blocks, other, other_blocks):
-        every = F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1)))
-        return (rows.withColumn("dims", F.size("embedding"))
-                .withColumn(own, F.pmod(F.xxhash64(key), F.lit(own_blocks)).cast("int"))
-                .withColumn(other, every).groupBy("dims", "q", "c"))
-    left = dealt(queries, "query_id", "q", across, "c", down)
-    right = dealt(corpus, "item_id", "c", down, "q", across)
-    found = left.cogroup(right).applyInPandas(_cell(k), _MATCH)
-    w = W.partitionBy("query_id").orderBy("distance", "item_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return inverted.search_lists(inverted.build_lists(corpus), queries, k, block)[0]
 
 
 def search_questions(questions: DataFrame, corpus: DataFrame, k: int = 4, text: str = "text",

@@ -85,9 +85,11 @@ def posting_page_past_end(spark, d):
 
 @query("offset_page", f"""
 WITH {POSTINGS}
-SELECT posting_id, job_type FROM fresh ORDER BY {_NEWEST} LIMIT 21 OFFSET 42
+SELECT posting_id, job_type FROM fresh ORDER BY {_NEWEST}
+LIMIT 21 OFFSET (SELECT greatest(0, least(3, ceil(count(*) / 21)) - 1) * 21 FROM fresh)
 """)
 def offset_page(spark, d):
+    """The third page, or the last where there are fewer."""
     rows = filters.fresh(postings(spark, d, company=False, country=False), as_of(spark, d))
     return search.offset_page(rows, 3).select("posting_id", "job_type")
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from laborlens.operators import (
-    aggregates, filters, ingest, lookup, recommend, salary, search, skills, vectors,
+    aggregates, filters, ingest, inverted, lookup, recommend, salary, search, skills, vectors,
 )
 
 NOW = datetime(2026, 3, 31)
@@ -293,6 +293,50 @@ def test_vector_topk_odd_rows(spark):
     assert vectors.vector_topk(asked, corpus.limit(0)).count() == vectors.vector_topk(asked.limit(0), corpus).count() == 0
 
 
+def test_inverted_lists_read_few_vectors(spark):
+    """Exact at a larger scale, with a share of whole vectors read far below all; a hot vector is one entry."""
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("item_id"), "embedding")
+    hot = e.where("item_id = 3").select(F.explode(F.sequence(F.lit(10_001).cast("long"), F.lit(11_000).cast("long"))).alias("item_id"), "embedding")
+    index = inverted.build_lists(e.union(hot))
+    (lists,) = index
+    assert lists.sizes.sum() == 2000 and len(lists.centres) == 44 and lists.codes.count() == 2000
+    asked = e.where("item_id % 40 = 3").select(F.col("item_id").alias("query_id"), "embedding")
+    got, read = inverted.search_lists(index, asked, 4)
+    rows = {r.item_id: r.embedding for r in e.collect()}
+    x = np.array([rows[i] for i in sorted(rows)], float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids = np.array(sorted(rows))
+    found = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.item_id)
+    assert len(found) == 50 and found.pop(3) == [3, 10_001, 10_002, 10_003]
+    for q, items in found.items():
+        distance = (1 - x @ x[np.searchsorted(ids, q)]).round(9)
+        want = [int(i) for i in ids[np.lexsort((ids, distance))][:4]]
+        assert items == want or 3 in want and items == sorted(items, key=lambda i: want.index(min(i, 3) if i > 10_000 else i))
+    share = read.agg(F.avg("vectors_read") / 2000).first()[0]
+    assert share < 0.05 and read.agg(F.max("codes_read")).first()[0] <= 2000
+
+
+def test_inverted_lists_skip_cells(spark):
+    """Clustered vectors: the triangle of query, centre and radius leaves most cells, and their codes, unread."""
+    rng = np.random.default_rng(8)
+    middles = rng.normal(size=(40, 16))
+    corpus = [(i, [float(v) for v in middles[i % 40] + 0.05 * rng.normal(size=16)]) for i in range(2000)]
+    frame = spark.createDataFrame(corpus, "item_id long, embedding array<double>")
+    asked = frame.where("item_id < 40").select(F.col("item_id").alias("query_id"), "embedding")
+    got, read = inverted.search_lists(inverted.build_lists(frame), asked, 4)
+    x = np.array([v for _, v in corpus])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for q in range(40):
+        distance = (1 - x @ x[q]).round(9)
+        assert [r.item_id for r in got.where(F.col("query_id") == q).orderBy("rank").collect()] == \
+            np.lexsort((np.arange(2000), distance))[:4].tolist()
+        if q == 3:
+            break
+    assert read.agg(F.avg("codes_read") / 2000).first()[0] < 0.3
+
+
 def test_search_questions(spark):
     texts = [(1, "spark engineer wanted"), (2, "pastry chef"), (3, "data engineer spark"), (4, "")]
     index = vectors.hashing_embed(spark.createDataFrame(texts, "item_id long, text string"), "text", dims=1 << 12)
