@@ -261,20 +261,21 @@ def repeated_strings(text: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray,
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes around each contested place: rows (anchor, doc, a, piece)."""
+    """The bytes around each contested place: rows (anchor, part, doc, a, piece)."""
     for batch in pieces(batches, "text", SLICE):
         data, offsets = flat(batch.column("text"))
         lists = batch.column("places")
         size = np.diff(lists.offsets.to_numpy())
         found = lists.flatten()
-        anchor, a, b = (found.field(c).to_numpy() for c in ("anchor", "a", "b"))
+        anchor, part, a, b = (found.field(c).to_numpy() for c in ("anchor", "part", "a", "b"))
         row = np.repeat(np.arange(batch.num_rows), size)
         lo = offsets[row] + a
         hi = lo + (b & 127) - 1 + WIDTH
         raw = data.tobytes()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(anchor), pa.array(batch.column("doc").to_numpy()[row]), pa.array(a),
-             pa.array([raw[i:j] for i, j in zip(lo.tolist(), hi.tolist())], pa.binary())], ["anchor", "doc", "a", "piece"])
+            [pa.array(anchor), pa.array(part), pa.array(batch.column("doc").to_numpy()[row]), pa.array(a),
+             pa.array([raw[i:j] for i, j in zip(lo.tolist(), hi.tolist())], pa.binary())],
+            ["anchor", "part", "doc", "a", "piece"])
 
 
 def _sort_pieces(firsts: bool):
@@ -367,14 +368,16 @@ def repeats(scratch: Scratch, docs: DataFrame, hot: int = HOT) -> DataFrame:
     found = docs.mapInArrow(_find_anchors, KINDS)
     compared = scratch.save(found.repartition("anchor").sortWithinPartitions(*place).mapInArrow(_compare, KINDS), "compared")
     contested = compared.where("kind = 2")
-    asked = contested.groupBy("doc").agg(F.collect_list(F.struct("anchor", "a", "b")).alias("places"))
     parts = contested.groupBy("anchor").count().where(F.col("count") > hot) \
         .select("anchor", F.ceil(F.col("count") / hot).alias("parts"))
-    around = docs.join(asked, "doc").select("doc", "text", "places").mapInArrow(
-        _segments, "anchor long, doc long, a int, piece binary")
-    dealt = around.join(parts, "anchor", "left").withColumn(
-        "part", F.when(F.col("parts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc", "a"), F.col("parts"))))
     many = parts.limit(1).count() > 0
+    # a place gets its part before its bytes are cut out, so that bytes are shuffled once
+    part = F.pmod(F.xxhash64("doc", "a"), F.col("parts"))
+    placed = contested.join(parts, "anchor", "left").withColumn("part", F.coalesce(part, F.lit(-1))) if many else \
+        contested.withColumn("part", F.lit(-1).cast("long"))
+    asked = placed.groupBy("doc").agg(F.collect_list(F.struct("anchor", "part", "a", "b")).alias("places"))
+    dealt = docs.join(asked, "doc").select("doc", "text", "places").mapInArrow(
+        _segments, "anchor long, part long, doc long, a int, piece binary")
 
     def sort(rows: DataFrame, firsts: bool) -> DataFrame:
         return rows.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "doc", "a").select(
