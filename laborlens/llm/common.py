@@ -52,6 +52,13 @@ class Scratch:
         df.write.option("compression", "zstd").partitionBy(*by).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """As ``save``, dealt by ``key`` into as many buckets as there are shuffle partitions: joins by it move only the other side."""
+        buckets, title = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"scratch_{uuid.uuid4().hex}"
+        (df.repartition(buckets, key).write.format("parquet").option("compression", "zstd").option("path", self.path(name))
+         .bucketBy(buckets, key).sortBy(key).saveAsTable(title))
+        return self.spark.table(title)
+
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:

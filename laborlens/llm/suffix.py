@@ -404,6 +404,7 @@ def remove_repeats(docs: DataFrame, id_: str = "doc_id", text: str = "text", hot
     """
     scratch = Scratch(docs.sparkSession, "suffix")
     rows = keyed(scratch, docs.select(F.col(id_).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), *also))
+    rows = scratch.bucketed(rows, "texts", "doc")           # two joins by doc follow
     spans = scratch.save(repeats(scratch, rows.select("doc", "text"), hot), "spans")
     scratch.drop("compared", "hot")
 
