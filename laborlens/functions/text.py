@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -81,8 +80,3 @@ def fold_ascii(col: Column) -> Column:
 
 def contains_any(col: Column, needles) -> Column:
     return reduce(lambda a, b: a | b, [col.contains(n) for n in needles])
-
-
-def skill_pattern(skill: str) -> str:
-    """Whole-word pattern of one skill in cleaned text; boundary quirks included."""
-    return rf"\b{re.escape(skill)}\b"

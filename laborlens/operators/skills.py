@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from laborlens import vocab
 from laborlens.functions.text import (
-    ANY_RUN, ASCII_RUN, skill_pattern, string_array, terms, with_bigrams,
+    ANY_RUN, ASCII_RUN, terms, with_bigrams,
 )
+from laborlens.operators import automaton
 from laborlens.session import cut_lineage
 
-INLINE_SKILLS = 512      # lexicons up to this size are tested inside the row
-_PLAIN = re.compile(f"^{ASCII_RUN}$")
+LEXICON_BYTES = 16 << 20        # a lexicon table up to this size is sent to every task
 
 
 def english_stopwords(extra=()) -> list[str]:
@@ -34,40 +32,30 @@ def match_skills(texts: DataFrame, skills=vocab.SKILL_LEXICON, key: str = "posti
                  clean: str = "clean", boundary: str = "faithful") -> DataFrame:
     """(key, skill) for every lexicon skill in the cleaned text; no shuffle.
 
-    A skill of word characters only is found iff it is one of the text's word runs, so all
-    of them cost one array intersection; the others are tested by pattern. With
+    One automaton of all skills reads each text once, whatever their number. With
     ``boundary='token'`` a skill such as 'c++' or 'c#' also counts before a blank.
     """
-    skills = list(dict.fromkeys(skills))
-    if len(skills) > INLINE_SKILLS:
-        return match_skill_table(texts, _as_table(texts, skills), key, clean, boundary)
-    col = F.col(clean)
-    runs = F.regexp_extract_all(col, F.lit(f"({ASCII_RUN})"), F.lit(1))
-    plain = [s for s in skills if _PLAIN.match(s)]
-    odd = [F.when(col.rlike(_pattern(s, boundary)), F.lit(s)) for s in skills if not _PLAIN.match(s)]
-    found = F.array_intersect(runs, string_array(plain)) if plain else F.array().cast("array<string>")
-    if odd:
-        found = F.concat(found, F.array_compact(F.array(*odd)))
-    return texts.select(key, F.explode(found).alias("skill"))
-
-
-def _as_table(texts, skills):
-    return texts.sparkSession.createDataFrame([(s,) for s in skills], "skill string")
-
-
-def _pattern(skill: str, boundary: str) -> str:
-    if boundary == "token":
-        return rf"(?<![A-Za-z0-9_]){re.escape(skill)}(?![A-Za-z0-9_+#])"
-    return skill_pattern(skill)
+    return automaton.match(texts, list(skills), key, clean, boundary)
 
 
 def match_skill_table(texts: DataFrame, lexicon: DataFrame, key: str = "posting_id",
                       clean: str = "clean", boundary: str = "faithful") -> DataFrame:
-    """The same for a lexicon of any size, held as a table, by equi-join.
+    """The same for a lexicon that is a table.
 
-    A match of a skill contains each of the skill's runs as a full run of the text, so the
-    join is on one anchor run; only multi-run skills then test their pattern on the text.
+    Its size is counted first: up to LEXICON_BYTES it goes to the tasks as automata, and no text
+    is shuffled. Beyond that it is joined: a match contains each of the skill's runs as a full run
+    of the text, so the join is on one anchor run; multi-run skills then test their pattern.
     """
+    size = lexicon.agg(F.sum(F.octet_length("skill"))).first()[0] or 0
+    if size <= LEXICON_BYTES:
+        return match_skills(texts, [r["skill"] for r in lexicon.select("skill").distinct().collect() if r["skill"]],
+                            key, clean, boundary)
+    return join_skill_table(texts, lexicon, key, clean, boundary)
+
+
+def join_skill_table(texts: DataFrame, lexicon: DataFrame, key: str = "posting_id",
+                     clean: str = "clean", boundary: str = "faithful") -> DataFrame:
+    """(key, skill) by an equi-join with a lexicon of any size."""
     runs = F.array_distinct(F.regexp_extract_all(F.col(clean), F.lit(f"({ANY_RUN})"), F.lit(1)))
     skill = F.col("skill")
     own = F.regexp_extract_all(skill, F.lit(f"({ASCII_RUN})"), F.lit(1))

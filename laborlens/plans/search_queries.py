@@ -108,7 +108,7 @@ def salary_sorted_page(spark, d):
     rows = (postings(spark, d, company=False, country=False)
             .withColumn("predicted_max", F.when(F.col("salary_max").isNull(), F.col("salary_min") * 1.5))
             .withColumn("predicted_min", F.lit(None).cast("double")))
-    hits = filters.fresh(rows, as_of(spark, d)).orderBy(*search.newest_first()).limit(500)
+    hits = filters.fresh(rows, as_of(spark, d)).orderBy(*search.newest_first())
     page = search.salary_sorted_page(hits, 2)
     key = money.high_sort_key(F.col("predicted_max"), F.col("salary_max"))
     # the page's own order, numbered: at most one page of rows in the window

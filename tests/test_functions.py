@@ -16,6 +16,7 @@ def skills_in(spark, words, lexicon, **options):
     inline = {r.skill for r in skills.match_skills(df, lexicon, **options).collect()}
     table = spark.createDataFrame([(s,) for s in lexicon], "skill string")
     joined = {r.skill for r in skills.match_skill_table(df, table, **options).collect()}
+    assert joined == {r.skill for r in skills.join_skill_table(df, table, **options).collect()}
     assert inline == joined
     return inline
 
