@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
@@ -16,6 +18,7 @@ from laborlens.functions import detect, money
 from laborlens.operators.aggregates import labelled_salaries, regression_scores
 from laborlens.operators.filters import training_rows
 from laborlens.operators.lookup import fx_table, with_fx
+from laborlens.session import cut_lineage
 
 SENIORITY_CODES = {"junior": 0, "lead": 1, "mid": 2, "senior": 3}    # alphabetical
 FEATURES = ("seniority_code", "has_remote", "is_internship", "is_us")
@@ -84,10 +87,17 @@ def train(frame: DataFrame, trees: int = 100, rate: float = 0.05, depth: int = 5
     return SalaryModels(low, high)
 
 
-def raw_predictions(models: SalaryModels, features: DataFrame) -> DataFrame:
-    """Add usd_salary_min and usd_salary_max."""
-    low = models.low.transform(features).drop("features")
-    return models.high.transform(low).drop("features")
+def raw_predictions(models: SalaryModels, rows: DataFrame) -> DataFrame:
+    """Add usd_salary_min and usd_salary_max.
+
+    The trees see each combination of the features once; the few predictions are then joined.
+    """
+    combinations = rows.select(*FEATURES).distinct()
+    high = models.high.transform(models.low.transform(combinations).drop("features"))
+    predicted = cut_lineage(high.select(*[F.col(c).alias(f"_{c}") for c in FEATURES], "usd_salary_min", "usd_salary_max"),
+                            "predicted")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in FEATURES])
+    return rows.join(predicted, same).drop(*[f"_{c}" for c in FEATURES])
 
 
 def evaluate(models: SalaryModels, frame: DataFrame) -> DataFrame:

@@ -184,7 +184,9 @@ def skill_cooccurrence_fresh(spark, d):
     return skills.cooccurrence(posting_skills(spark, d), 12, _fresh_ids(spark, d))
 
 
-_COLUMNS = ("red widget", "blue ring", "hot bolt", "small ring")
+# every skill name of the table
+_COLUMNS = tuple(f"{kind} {thing}" for kind in ("blue", "cold", "hot", "large", "new", "old", "red", "small")
+                 for thing in ("anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget"))
 
 
 @query("skill_matrix", f"""
