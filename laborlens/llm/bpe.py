@@ -11,7 +11,6 @@ so agreement at both ends of an encoded window proves the whole.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import itertools
 import re
@@ -44,7 +43,6 @@ def encoder(path: str) -> "Encoder":
     """The encoder of this Python worker for a tokenizer file."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
-        gc.disable()        # no cycles here, and the memory's many objects are slow to walk
     return _encoders[path]
 
 

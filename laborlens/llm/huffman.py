@@ -10,7 +10,6 @@ decoded in step, one table lookup for each id. The code lengths lie in a file of
 
 from __future__ import annotations
 
-import gc
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,7 +29,8 @@ MAGIC, END = b"HFB1", "HFBE"
 HEADER = "<IIIIQ"
 BUCKET_IDS = 4_000_000    # ids of one bucket of neighbouring documents
 BLOCK_BYTES = 1 << 20
-CACHE = 250_000           # words, and other chunks, that a worker remembers
+MEMORY = 32 << 20         # bytes that a worker keeps of words, and as much of other chunks
+ENTRY = 200               # bytes of an entry besides its text and ids: two headers and the place in the table
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -124,6 +124,22 @@ def encode_rows(ids: np.ndarray, count: np.ndarray, lengths: np.ndarray, codes:
     return payload[:total].astype(np.uint8).tobytes(), row_end, inside
 
 
+class Memory(dict[str, bytes]):
+    """ids of chunks, with a bound in bytes; what was learnt last goes first, as frequent chunks come early."""
+
+    size = 0
+
+    def learn(self, chunk: str, ids: bytes) -> None:
+        if chunk not in self:
+            self.size += ENTRY + 2 * len(chunk) + len(ids)
+            self[chunk] = ids
+
+    def forget(self, limit: int) -> None:
+        while self.size > limit and self:
+            chunk, ids = self.popitem()
+            self.size -= ENTRY + 2 * len(chunk) + len(ids)
+
+
 class WordEncoder:
     """ids of a tokenizer file that lower-cases and drops white space, word by word from a memory.
 
@@ -137,8 +153,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.bare: dict[str, bytes] = {}
-        self.odd: dict[str, bytes] = {}
+        self.bare, self.odd = Memory(), Memory()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>")
                               for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))])
         self.quick = Tokenizer(self.tokenizer.model)            # words that need no normal form or cutting
@@ -156,7 +171,7 @@ class WordEncoder:
                 raise ValueError("a bare word is not one piece in this tokenizer file")
             ids = ids.tobytes()
             for word, i, j in zip(part, [0, *cut[:-1].tolist()], cut.tolist()):
-                self.bare[word] = ids[4 * i:4 * j]
+                self.bare.learn(word, ids[4 * i:4 * j])
 
     def _ids_of(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of different chunks, one after the other, and how many each has."""
@@ -167,14 +182,10 @@ class WordEncoder:
         self._learn(set(asked[0]))
         new = [c for c in {*asked[1], *asked[2]} if c not in self.odd]
         for chunk, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.odd[chunk] = np.array(e.ids, "<u4").tobytes()
+            self.odd.learn(chunk, np.array(e.ids, "<u4").tobytes())
         found = [memory[c] for memory, part in zip((self.bare, self.odd, self.odd), asked) for c in part]
         for memory in (self.bare, self.odd):
-            while len(memory) > CACHE:
-                memory.popitem()
-        for chunk in new:
-            if len(chunk) > 200:
-                self.odd.pop(chunk, None)
+            memory.forget(MEMORY)
         empty = len(found)          # a chunk is a word and its tail, or an odd chunk and nothing
         pair = np.full((len(chunks), 2), empty)
         is_word = shape.is_valid().to_numpy(zero_copy_only=False)
@@ -210,7 +221,6 @@ def word_encoder(path: str) -> WordEncoder:
     """The encoder of this Python worker for a tokenizer file."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
-        gc.disable()        # no cycles here, and the memory's many objects are slow to walk
     return _encoders[path]
 
 
