@@ -130,27 +130,18 @@ posting_skills AS (
 
 
 def users(spark: SparkSession, d: str) -> DataFrame:
-    """Customers as users: the skills are the parts of their latest order."""
-    o = table(spark, d, "orders")
-    latest = (o.groupBy("o_custkey")
-              .agg(F.max(F.struct("o_orderdate", "o_orderkey")).alias("last"))
-              .select("o_custkey", F.col("last.o_orderkey").alias("l_orderkey")))
+    """Customers as users: the skills are the parts of all their orders."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
     parts = table(spark, d, "part").select("p_partkey", "p_name")
-    return (lines.join(latest, "l_orderkey")
+    return (lines.join(o, lines.l_orderkey == o.o_orderkey)
             .join(parts, lines.l_partkey == parts.p_partkey)
             .groupBy(F.col("o_custkey").alias("user_id"))
             .agg(F.collect_set("p_name").alias("skills")))
 
 
 USERS = """
-latest AS (
-  SELECT o_custkey, o_orderkey FROM (
-    SELECT o_custkey, o_orderkey,
-           row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n
-    FROM orders) WHERE n = 1
-),
 user_skills AS (
   SELECT DISTINCT o_custkey AS user_id, p_name AS skill
-  FROM latest JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
 )"""

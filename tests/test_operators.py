@@ -233,6 +233,36 @@ def test_recommend_equals_brute_force(spark, seed, hot, direct_rows):
     assert got == brute(users, scores, 3, 2)
 
 
+@pytest.mark.parametrize("direct_rows", [10**9, 0])
+@pytest.mark.parametrize("seed, hot", [(4, True), (5, False)])
+def test_filtered_recommendations_equal_brute_force(spark, seed, hot, direct_rows):
+    """Filters before the ranking, with and without bounds, where one skill is in half of all rows."""
+    users, scores = random_market(seed, 25, 150, hot)
+    modes, lands = ["remote", "hybrid", "onsite"], ["UK", "EG"]
+    mode, land = (lambda p: modes[p % 7 % 3]), (lambda p: lands[p % 5 % 2])        # noqa: E731
+    asking = [(u, s, modes[u % 3] if u % 4 else None, lands[u % 2].lower() if u % 3 else "all") for u, s in users]
+    df = recommend.recommend(
+        spark.createDataFrame(asking, "user_id long, skills array<string>, want_job_type string, want_country string"),
+        spark.createDataFrame(scores, "posting_id long, skill string, score double"),
+        spark.createDataFrame([(p, land(p), mode(p), "c", "s") for p in range(150)],
+                              "posting_id long, country string, job_type string, contract_type string, seniority string"),
+        3, prefilter=True, direct_rows=direct_rows)
+    got = {}
+    for r in df.orderBy("user_id", "rank").collect():
+        got.setdefault(r.user_id, []).append(r.posting_id)
+    want = {}
+    for u, s, m, c in asking:
+        allowed = [x for x in scores if (m is None or mode(x[0]) == m) and (c == "all" or land(x[0]).lower() == c)]
+        names = {x[1] for x in scores}
+        known = [x for x in {w.lower() for w in s} & names]
+        rest = [(-1, n, 0.0) for n in names]                    # a skill of filtered postings stays known
+        found = brute([(u, known)], allowed + rest, 4, 1).get(u, [])
+        found = [p for p in found if p >= 0][:3]
+        if found:
+            want[u] = found
+    assert got == want
+
+
 def test_copies_are_cut_before_the_shuffle(spark):
     scores = spark.range(100).selectExpr("id posting_id", "'a' skill", "1.0D score")
     cut = recommend.profiles(recommend.unit_vectors(scores), 5)
