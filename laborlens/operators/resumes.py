@@ -48,3 +48,14 @@ def match_resumes(detected: DataFrame, posting_skills: DataFrame, postings: Data
     """Recommendations for the detected skills of each résumé."""
     users = detected.select(F.col("resume_id").alias("user_id"), "skills")
     return recommend(users, posting_skills, postings, top_n).withColumnRenamed("user_id", "resume_id")
+
+
+def recommend_from_text(resumes: DataFrame, posting_skills: DataFrame, postings: DataFrame, text: str = "text",
+                        skills=vocab.RESUME_SKILLS, top_n: int = 8) -> DataFrame:
+    """From résumé texts to postings in one job: skills are detected in the whole text, then matched.
+
+    A résumé without text or without a skill that a posting has gets no rows; résumés with equal skills
+    are scored once.
+    """
+    detected = detected_skills(resumes, text, skills).where(F.size("skills") > 0)
+    return match_resumes(detected, posting_skills, postings, top_n)

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from laborlens import vocab
 from laborlens.functions import labels, replies, resume
+from laborlens.functions.text import clean_text
 from laborlens.operators import filters, resumes, skills, vectors
 from laborlens.plans.ingest_queries import _pick, _pick_sql
 from laborlens.plans.refresh import posting_documents
-from laborlens.plans.skill_queries import _fresh_ids, nearest_sql
+from laborlens.plans.skill_queries import CLEAN, _escaped, _fresh_ids, nearest_sql
 from laborlens.plans.tables import (
     POSTINGS, SKILLS, as_of, posting_skills, postings, query, skill_names, table,
 )
@@ -44,7 +45,7 @@ _SECTIONS_SQL = "list_filter([" + ", ".join(
     f"CASE WHEN regexp_matches(x, '{'|'.join(v)}') THEN '{k}' END" for k, v in vocab.SECTION_WORDS.items()
 ) + "], lambda s: s IS NOT NULL)"
 
-RESUMES = f"""
+RESUME_PARTS = f"""
 resumes AS (SELECT doc_id AS resume_id, CASE WHEN doc_id % 50 = 0 THEN '  '
                    ELSE text || {_pick_sql('doc_id', *_TAILS)} END AS text FROM documents),
 lowered AS (SELECT resume_id, lower(text) AS x, trim(text) = '' AS empty FROM resumes),
@@ -55,7 +56,8 @@ parts AS (
   SELECT resume_id, empty, found, metric_count, len(w) AS word_count,
          len(list_intersect(list_distinct(w), {_list_sql(vocab.ACTION_VERBS)})) AS verb_count,
          list_sort(list_intersect(list_distinct(w), {_list_sql(vocab.RESUME_SKILLS)})) AS detected
-  FROM counted),
+  FROM counted)"""
+RESUMES = f"""{RESUME_PARTS},
 scores AS (
   SELECT *, CASE WHEN empty THEN 0 ELSE len(found) * 5 END AS sections_score,
          CASE WHEN empty THEN 0 ELSE least(20, verb_count * 2) END AS verbs_score,
@@ -162,6 +164,28 @@ def resume_to_postings(spark, d):
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
+_TEXT_LEXICON = ", ".join(f"('{x}', '\\b{_escaped(x)}\\b')" for x in vocab.SKILL_LEXICON)
+
+
+@query("resume_text_to_postings", f"""
+WITH {RESUME_PARTS},
+cleaned AS (SELECT resume_id AS posting_id, {CLEAN} AS clean FROM resumes),
+lexicon(skill, pattern) AS (VALUES {_TEXT_LEXICON}),
+posting_skills AS (SELECT posting_id, skill, 1.0::DOUBLE AS score FROM cleaned JOIN lexicon ON regexp_matches(clean, pattern)),
+fresh AS (SELECT posting_id FROM cleaned),
+asks AS (SELECT resume_id AS user_id, unnest(detected) AS skill FROM parts),
+{nearest_sql('asks', 8)}
+SELECT user_id AS resume_id, posting_id, match_score, rank FROM best WHERE rank <= 8
+""")
+def resume_text_to_postings(spark, d):
+    """Both sides from text: each document is a résumé and, cleaned and matched with the lexicon, a posting."""
+    texts = _resumes(spark, d)
+    cleaned = texts.select(F.col("resume_id").alias("posting_id"), clean_text(F.col("text")).alias("clean"))
+    wanted = skills.match_skills(cleaned).withColumn("score", F.lit(1.0))
+    found = resumes.recommend_from_text(texts, wanted, cleaned.select("posting_id"))
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
 # --- model replies ----------------------------------------------------------------------
 
 @query("reply_salvage", f"""

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from laborlens.operators import (
-    aggregates, filters, ingest, inverted, lookup, recommend, salary, search, skills, vectors,
+    aggregates, filters, ingest, inverted, lookup, recommend, resumes, salary, search, skills, vectors,
 )
 
 NOW = datetime(2026, 3, 31)
@@ -288,6 +288,15 @@ def test_recommend_filters_after_and_before(spark):
     assert after.count() == 0 and sorted(r.posting_id for r in before.collect()) == [8, 9]
 
 
+def test_resume_text_to_recommendations(spark):
+    texts = spark.createDataFrame([(1, "Led teams. Python, and SQL!"), (2, "sql " * 5000 + "docker"), (3, None), (4, ""), (5, "cook")],
+                                  "resume_id long, text string")
+    scores = spark.createDataFrame([(10, "Python", 1.0), (11, "SQL", 1.0), (11, "Docker", 1.0), (12, "cook", 1.0)],
+                                   "posting_id long, skill string, score double")
+    found = resumes.recommend_from_text(texts, scores, scores.select("posting_id").distinct(), top_n=2)
+    assert sorted((r.resume_id, r["rank"], r.posting_id) for r in found.collect()) == [(1, 1, 10), (1, 2, 11), (2, 1, 11)]
+
+
 # --- vectors ----------------------------------------------------------------------------
 
 @pytest.mark.parametrize("block", [1000, 4])
