@@ -10,7 +10,7 @@ from laborlens import vocab
 from laborlens.functions.text import (
     ANY_RUN, ASCII_RUN, terms, with_bigrams,
 )
-from laborlens.operators import automaton
+from laborlens.operators import automaton, heavy
 from laborlens.session import cut_lineage
 
 LEXICON_BYTES = 16 << 20        # a lexicon table up to this size is sent to every task
@@ -85,37 +85,61 @@ def text_terms(clean: str = "clean", bigrams: bool = True, stopwords=None):
     return with_bigrams(tokens) if bigrams else tokens
 
 
-def vocabulary(texts: DataFrame, clean: str = "clean", max_features: int = 500,
-               bigrams: bool = True, stopwords=None) -> DataFrame:
-    """(term, ctf, df) of the most frequent terms; ties by term.
+def token_lists(texts: DataFrame, clean: str, *columns: str) -> DataFrame:
+    """The given columns and the tokens of each text, tokenised once and saved for the passes that read them."""
+    return cut_lineage(texts.select(*columns, terms(F.col(clean)).alias("tokens")), "tokens")
 
-    Occurrences and texts are counted in one aggregation whose partial sums run before the
-    shuffle, so a term that is everywhere costs one row per task.
-    """
-    listed = F.col("all")
+
+def count_vocabulary(lists: DataFrame, max_features: int, bigrams: bool, stopwords) -> DataFrame:
+    """(term, ctf, df) by counting every term; partial sums run before the shuffle."""
+    tokens = F.col("tokens")
+    if stopwords:
+        tokens = F.filter(tokens, lambda t: ~t.isin(*stopwords))
+    listed = with_bigrams(tokens) if bigrams else tokens
     uses = F.transform(listed, lambda t: F.struct(t.alias("term"), F.lit(0).alias("first")))
     firsts = F.transform(F.array_distinct(listed),
                          lambda t: F.struct(t.alias("term"), F.lit(1).alias("first")))
-    counted = (texts.select(text_terms(clean, bigrams, stopwords).alias("all"))
-               .select(F.inline(F.concat(uses, firsts)))
-               .groupBy("term")
+    counted = (lists.select(F.inline(F.concat(uses, firsts))).groupBy("term")
                .agg(F.sum(1 - F.col("first")).alias("ctf"), F.sum("first").alias("df")))
     return counted.orderBy(F.desc("ctf"), "term").limit(max_features)
 
 
+def ranked_terms(lists: DataFrame, max_features: int, bigrams: bool, stopwords,
+                 key: str | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """The vocabulary (term, ctf, df), counts of a set of terms that holds it ([key,] term, tf), and the number of texts.
+
+    Bounded summaries name the candidates and only these are counted. Where the summaries prove no
+    short list (all terms about equally frequent), every term is counted; both ways are exact.
+    """
+    stop = list(stopwords or ())
+    wanted, texts = heavy.candidates(lists, max_features, bigrams, stop)
+    if wanted is None:
+        kept = cut_lineage(count_vocabulary(lists, max_features, bigrams, stop), "vocabulary")
+        return kept, heavy.count_terms(lists, [r["term"] for r in kept.collect()], stop, key), texts
+    counts = heavy.count_terms(lists, wanted, stop, key)
+    if key:
+        counts = cut_lineage(counts, "counts")
+    kept = (counts.groupBy("term").agg(F.sum("tf").alias("ctf"), F.count(F.lit(1)).alias("df"))
+            .orderBy(F.desc("ctf"), "term").limit(max_features))
+    return kept, counts, texts
+
+
+def vocabulary(texts: DataFrame, clean: str = "clean", max_features: int = 500,
+               bigrams: bool = True, stopwords=None) -> DataFrame:
+    """(term, ctf, df) of the most frequent terms; ties by term. A text that is NULL has none."""
+    return ranked_terms(token_lists(texts, clean), max_features, bigrams, stopwords)[0]
+
+
 def tfidf(texts: DataFrame, key: str = "posting_id", clean: str = "clean",
           max_features: int = 500, bigrams: bool = True, stopwords=None) -> DataFrame:
     """(key, term, weight): tf · (ln((1+n)/(1+df)) + 1), rows scaled to length one.
 
-    Only occurrences of kept terms leave the tokenising tasks; the vocabulary side of that
-    join has at most ``max_features`` rows.
+    Only counts of candidate terms leave the tasks that read the tokens; the vocabulary side of
+    the join has at most ``max_features`` rows. Texts with equal keys are one text.
     """
-    kept = vocabulary(texts, clean, max_features, bigrams, stopwords)
-    n = texts.agg(F.count(F.lit(1))).scalar()
-    idf = kept.select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
-    counts = (texts.select(key, F.explode(text_terms(clean, bigrams, stopwords)).alias("term"))
-              .join(idf, "term")
-              .groupBy(key, "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
+    kept, counts, n = ranked_terms(token_lists(texts, clean, key), max_features, bigrams, stopwords, key)
+    idf = kept.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
+    counts = (counts.join(idf, "term").groupBy(key, "term", "idf").agg(F.sum("tf").alias("tf"))
               .withColumn("raw", F.col("tf") * F.col("idf")))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(key)))
     return counts.select(key, "term", (F.col("raw") / norm).alias("weight"))
