@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from laborlens import vocab
 from laborlens.functions import labels, money
-from laborlens.operators import aggregates, filters, lookup, search
+from laborlens.operators import aggregates, filters, lookup, ranks, search
 from laborlens.plans.tables import POSTINGS, as_of, postings, query, table
 
 _CARD = "posting_id, title, company, country, job_type, contract_type, seniority, salary_min, salary_max"
@@ -83,6 +86,31 @@ def posting_page_past_end(spark, d):
     return _page(spark, d, 1_000_000)
 
 
+@query("posting_row_numbers", f"""
+WITH {POSTINGS}
+SELECT posting_id, row_number() OVER (ORDER BY {_NEWEST}) AS row_no FROM fresh
+""")
+def posting_row_numbers(spark, d):
+    """The number of every fresh posting, newest first."""
+    rows = filters.fresh(postings(spark, d, company=False, country=False), as_of(spark, d))
+    return ranks.numbered(search.page_directory(rows)).select("posting_id", "row_no")
+
+
+@query("posting_pages", f"""
+WITH {POSTINGS},
+placed AS (SELECT posting_id, row_number() OVER (ORDER BY {_NEWEST}) AS row_no, count(*) OVER () AS n FROM fresh),
+asked AS (SELECT page, least(page, (SELECT CAST(ceil(max(n) / 21.0) AS INTEGER) FROM placed)) AS shown
+          FROM (VALUES (1), (2), (30), (1000000)) AS p(page))
+SELECT page AS asked, posting_id, row_no FROM asked JOIN placed ON CAST(ceil(row_no / 21.0) AS INTEGER) = shown
+""")
+def posting_pages(spark, d):
+    """First, second, far and last page from one directory."""
+    rows = filters.fresh(postings(spark, d, company=False, country=False), as_of(spark, d))
+    found = search.page_directory(rows)
+    pages = [search.page_rows(found, p).select(F.lit(p).alias("asked"), "posting_id", "row_no") for p in (1, 2, 30, 1_000_000)]
+    return reduce(DataFrame.unionByName, pages)
+
+
 @query("offset_page", f"""
 WITH {POSTINGS}
 SELECT posting_id, job_type FROM fresh ORDER BY {_NEWEST}
