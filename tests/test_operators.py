@@ -288,6 +288,28 @@ def test_recommend_filters_after_and_before(spark):
     assert after.count() == 0 and sorted(r.posting_id for r in before.collect()) == [8, 9]
 
 
+@pytest.mark.parametrize("seed, copies", [(6, 1), (7, 9)])
+def test_late_filters_cut_lists_in_their_rows(spark, seed, copies):
+    """Filters after the ranking: the lists of the tiers give what the join on skill gives, ids with two rows included."""
+    users, scores = random_market(seed, 25, 120)
+    modes = ["remote", "hybrid", "onsite"]
+    asking = [(u, s, modes[u % 3] if u % 4 else None, ["uk", "all"][u % 2]) for u, s in users]
+    frame = spark.createDataFrame([(p + c * 1000, s, v) for p, s, v in scores for c in range(copies)],
+                                  "posting_id long, skill string, score double")
+    rows = [(p, "UK" if p % 5 else None, modes[p % 7 % 3], "c", "s") for p, in frame.select("posting_id").distinct().collect()]
+    rows += [(p, "EG", "remote", "c", "s") for p, *_ in rows if p % 10 == 0]
+    args = (spark.createDataFrame(asking, "user_id long, skills array<string>, want_job_type string, want_country string"), frame,
+            spark.createDataFrame(rows, "posting_id long, country string, job_type string, contract_type string, seniority string"))
+    one, other = (recommend.recommend(*args, 3, overfetch=5, direct_rows=n) for n in (10**9, 0))
+    other = other.cache()
+    assert other.count() > 20 and one.exceptAll(other).isEmpty() and other.exceptAll(one).isEmpty()
+
+
+def test_large_joins_on_skill_are_left_out():
+    """Rows of the join may all be shuffled, so only a small one is made."""
+    assert recommend.DIRECT_ROWS <= 1_000_000
+
+
 def test_resume_text_to_recommendations(spark):
     texts = spark.createDataFrame([(1, "Led teams. Python, and SQL!"), (2, "sql " * 5000 + "docker"), (3, None), (4, ""), (5, "cook")],
                                   "resume_id long, text string")
