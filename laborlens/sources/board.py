@@ -1,21 +1,23 @@
 """HTML job board: search pages to cards, detail pages to descriptions.
 
-The element tree needs Python, so the two parsers run as ``mapInPandas`` over Arrow
-batches; links alone are extracted JVM-side by pattern.
+The element tree needs Python, so the two parsers run as ``mapInArrow`` over slices of
+Arrow batches; links alone are extracted JVM-side by pattern.
 """
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from laborlens import vocab
 from laborlens.functions import detect, labels, money
 from laborlens.functions.text import truncate
 from laborlens.schema import ARRIVING, CARD, DETAIL, conform
+from laborlens.session import slices
 from laborlens.sources.markup import parse
 
 LINK_PART = "/jobs/p/"
@@ -76,12 +78,17 @@ def search_cards(pages: DataFrame, link_part: str = LINK_PART,
                  base: str = vocab.BOARD_BASE_URL) -> DataFrame:
     """Search result pages (page_id, html) to one row per card."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "html"):
             rows = [(pid, no, *card)
-                    for pid, html in zip(batch["page_id"], batch["html"])
+                    for pid, html in zip(*(c.to_pylist() for c in batch.columns))
                     for no, card in enumerate(_card_rows(html, link_part, base))]
-            yield pd.DataFrame(rows, columns=CARD.names)
-    return pages.select("page_id", "html").mapInPandas(run, CARD)
+            yield _table(rows, CARD)
+    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, CARD)
+
+
+def _table(rows, schema):
+    """Rows as one Arrow batch of a Spark schema."""
+    return pa.RecordBatch.from_pylist([dict(zip(schema.names, row)) for row in rows], to_arrow_schema(schema))
 
 
 def _detail_row(html, fallbacks):
@@ -96,11 +103,11 @@ def _detail_row(html, fallbacks):
 def page_details(pages: DataFrame, fallbacks=("section",), chars: int | None = None) -> DataFrame:
     """Detail pages (page_id, html) to description (whole unless ``chars``), salary_min and salary_max."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "html"):
             rows = [(pid, *_detail_row(html, fallbacks))
-                    for pid, html in zip(batch["page_id"], batch["html"])]
-            yield pd.DataFrame(rows, columns=DETAIL.names)
-    found = pages.select("page_id", "html").mapInPandas(run, DETAIL)
+                    for pid, html in zip(*(c.to_pylist() for c in batch.columns))]
+            yield _table(rows, DETAIL)
+    found = pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, DETAIL)
     pay = money.parse_salary(F.col("salary_text"))
     return found.select("page_id",
                         truncate(F.col("description"), chars).alias("description"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,6 +13,7 @@ from laborlens.operators import filters, ingest
 from laborlens.operators.store import Store
 from laborlens.plans import refresh
 from laborlens.schema import SUMMARY, conform
+from laborlens.session import slices
 
 
 def landed_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
@@ -72,14 +74,16 @@ def stored_first(stream: DataFrame, path: str, checkpoint: str, order, key: str)
 def summarise_rows(rows: DataFrame, summarise, chars: int | None = None) -> DataFrame:
     """(posting_id, summary_en, summary_ar) from a plugged-in text model.
 
-    ``summarise(series of text) -> series of replies`` is called per Arrow batch; ``chars`` limits
+    ``summarise(series of text) -> series of replies`` is called per slice of a few MB; ``chars`` limits
     the text for a model that takes no more.
     """
     def run(batches):
-        for batch in batches:
-            yield batch[["posting_id"]].assign(raw=summarise(batch["text"]))
+        for batch in slices(batches, "text"):
+            raw = summarise(batch.column("text").to_pandas())
+            yield pa.RecordBatch.from_arrays([batch.column("posting_id").cast(pa.int64()),
+                                              pa.Array.from_pandas(raw, type=pa.string())], ["posting_id", "raw"])
     sent = rows.select("posting_id", truncate(F.trim("description"), chars).alias("text"))
-    answered = sent.mapInPandas(run, "posting_id long, raw string")
+    answered = sent.mapInArrow(run, "posting_id long, raw string")
     raw, parsed = F.col("raw"), replies.parsed(F.col("raw"))
     return answered.select("posting_id",
                            replies.text_field(raw, parsed, "summary_en").alias("summary_en"),
