@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from laborlens import vocab
 from laborlens.schema import ARRIVING, POSTING_DEFAULTS, conform
+from laborlens.session import cut_lineage
 
 
 def accept(arriving: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -51,6 +52,17 @@ def not_stored(batch: DataFrame, stored: DataFrame, key: str = "source_id") -> D
     return batch.join(hits, key, "left_anti")
 
 
+def unseen(arriving: DataFrame, stored: DataFrame, key: str = "source_id") -> DataFrame:
+    """Arriving rows, repeats included, whose key the store does not hold, or that have no key.
+
+    Only keys are compared; whole rows then meet the new keys, or none at all where no key is new.
+    """
+    keys = arriving.select(key).where(F.col(key).isNotNull()).distinct()
+    new = cut_lineage(keys.join(stored.select(key), key, "left_anti"), "new-keys")
+    bare = arriving.where(F.col(key).isNull())
+    return bare if new.isEmpty() else bare.unionByName(arriving.join(new, key, "left_semi").select(arriving.columns))
+
+
 def company_id(name: Column) -> Column:
     """Stable key of a dimension row: no sequence and no lookup join needed."""
     return F.xxhash64(name)

@@ -249,8 +249,9 @@ def stream_ingest_first_wins(spark, d):
                              F.concat("event_type", F.lit(f" {pull}")).alias("title"),
                              (F.col("user_id") + pull).cast("double").alias("salary_min"))
         rows.write.mode("append").parquet(f"{root}/landed/{pull}")
+    files = spark.read.parquet(f"{root}/landed/0").select("_metadata.file_path").distinct().count()     # the same in each pull
     stream = streams.landed_stream(spark, f"{root}/landed/*", "source_id string, title string, salary_min double",
-                                   files_per_trigger=1)
+                                   files_per_trigger=max(1, files))
     store = Store(spark, f"{root}/store")
     streams.ingest_stream(stream, store, f"{root}/checkpoint").awaitTermination()
     return store.read("postings").select("source_id", "title", "salary_min")

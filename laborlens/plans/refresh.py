@@ -23,13 +23,14 @@ def store_batch(store: Store, arriving: DataFrame, order, scraped_at=None, note:
     The seniority is read from the text here, so that no later step rewrites the rows for it.
     """
     rows, _ = ingest.accept(arriving)
+    if store.exists("postings"):
+        # keys are compared first, so a pull that brings nothing new sends no whole rows
+        rows = ingest.unseen(rows, store.read("postings"))
     # the batch is read for its keys, its rows and its companies, so it is computed once
     batch = cut_lineage(ingest.first_wins(rows, order), "batch")
     base = 0
     if store.exists("postings"):
-        stored = store.read("postings")
-        batch = ingest.not_stored(batch, stored)
-        base = (stored.agg(F.max("posting_id")).first()[0] or 0) + 1
+        base = (store.read("postings").agg(F.max("posting_id")).first()[0] or 0) + 1
     scraped = filters.as_column(scraped_at)
     new = (batch
            .withColumn("posting_id", F.monotonically_increasing_id() + F.lit(base))

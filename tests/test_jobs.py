@@ -1,18 +1,22 @@
 """Sources, stores, the refresh chain and streams."""
 
+import glob
 import io
 import json
 import zipfile
 from datetime import datetime
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from laborlens import vocab
 from laborlens.operators import ingest
 from laborlens.operators.store import Store
 from laborlens.plans import refresh
+from laborlens.session import scratch_root, slices
 from laborlens.sources import api, board, feeds, resumes
 from laborlens.streaming import ingest as streams
 
@@ -233,3 +237,40 @@ def test_missing_shared_folder_is_reported():
         sparkContext = type("Context", (), {"master": "spark://host:7077"})()
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.scratch_root(Session())
+
+
+def test_texts_come_in_slices_bounded_by_bytes():
+    batch = pa.record_batch({"k": list(range(6)), "text": ["a" * 9, None, "b" * 9, "c" * 99, "", "d"]})
+    got = list(slices(iter([batch]), "text", 20))
+    assert [b.column("k").to_pylist() for b in got] == [[0, 1, 2], [3], [4, 5]]
+
+
+def test_summaries_and_pages_are_made_slice_by_slice(spark):
+    """The model and the parser see a few MB at once, however many rows an Arrow batch holds."""
+    def told(texts):
+        assert texts.str.len().sum() <= 4 << 20
+        return '{"summary_en": "' + texts.str.len().astype(str) + '", "summary_ar": ""}'
+    rows = spark.range(0, 12, 1, 1).selectExpr("id posting_id", "repeat('x', 1000000) description")
+    assert {r.summary_en for r in streams.summarise_rows(rows, told).collect()} == {"1000000"}
+
+
+def test_known_keys_meet_no_whole_rows(spark, tmp_path):
+    """A pull without new keys reads no text; one with some adds those, and all rows without a key."""
+    store = Store(spark, str(tmp_path / "s"))
+    rows = spark.createDataFrame([("a", "t", "x"), (None, "t", "y")], "source_id string, title string, description string")
+    refresh.store_batch(store, rows, ["description"])
+    old = ingest.unseen(rows.where("source_id = 'a'"), store.read("postings"))
+    assert "Join" not in old._jdf.queryExecution().optimizedPlan().toString()
+    refresh.store_batch(store, rows.unionByName(rows.selectExpr("'b' source_id", "title", "description")), ["description"])
+    got = sorted((r.source_id or "", r.description) for r in store.read("postings").collect())
+    assert got == [("", "y"), ("", "y"), ("a", "x"), ("b", "x")]
+
+
+def test_each_pull_is_one_micro_batch(spark, tmp_path):
+    """A pull of several files is one batch of the stream, so a store gets three commits."""
+    (spark.range(40).selectExpr("id event_id", "'c' event_type", "id user_id").repartition(5)
+     .write.parquet(str(tmp_path / "events.parquet")))
+    before = set(glob.glob(scratch_root(spark) + "/arrivals-*"))
+    assert entry.queries()["stream_ingest_first_wins"](spark, str(tmp_path)).count() == 40
+    made, = set(glob.glob(scratch_root(spark) + "/arrivals-*")) - before
+    assert Store(spark, f"{made}/store").history().count() == 3
