@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import (
-    PCA, CountVectorizer, ElementwiseProduct, IDF, Normalizer, StandardScaler,
-)
+from pyspark.ml.feature import PCA, ElementwiseProduct, Normalizer, StandardScaler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laborlens.operators.skills import english_stopwords, text_terms
+from laborlens.operators import heavy
+from laborlens.operators.skills import english_stopwords, ranked_terms, token_lists
 from laborlens.session import cut_lineage
 
 CLUSTERS, SEED, STARTS, FEATURES = 5, 42, 10, 300
@@ -23,15 +24,18 @@ CLUSTERS, SEED, STARTS, FEATURES = 5, 42, 10, 300
 def term_vectors(texts: DataFrame, key: str = "posting_id", clean: str = "clean",
                  features: int = FEATURES):
     """(key, features), unit TF-IDF vectors of unigrams and bigrams; also returns the terms."""
-    listed = texts.select(key, text_terms(clean, True, english_stopwords()).alias("_terms"))
-    listed = cut_lineage(listed, "terms")       # tokenised once, read by both fits and the result
-    counter = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=features).fit(listed)
-    counts = counter.transform(listed).drop("_terms")
-    idf = IDF(inputCol="_tf", outputCol="_idf").fit(counts)
-    # the library's idf is ln((1+n)/(1+df)); the weights used here are one more
-    scale = ElementwiseProduct(inputCol="_tf", outputCol="_w", scalingVec=idf.idf.toArray() + 1.0)
+    lists, stop = token_lists(texts, clean, key), english_stopwords()      # tokenised once
+    # bounded summaries name the terms: counting all of them would shuffle every bigram
+    kept, _, n = ranked_terms(lists, features, True, stop)
+    rows = kept.collect()
+    if not rows:
+        raise ValueError("no text has a term")
+    names = [r["term"] for r in rows]
+    idf = Vectors.dense([math.log((1 + n) / (1 + r["df"])) + 1.0 for r in rows])
+    scale = ElementwiseProduct(inputCol="_tf", outputCol="_w", scalingVec=idf)
     unit = Normalizer(inputCol="_w", outputCol="features")
-    return unit.transform(scale.transform(counts)).drop("_tf", "_w"), counter.vocabulary
+    counts = heavy.count_vectors(lists, names, stop, key, "_tf")
+    return unit.transform(scale.transform(counts)).drop("_tf", "_w"), names
 
 
 def cluster_texts(texts: DataFrame, k: int = CLUSTERS, key: str = "posting_id",

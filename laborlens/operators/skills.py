@@ -86,13 +86,13 @@ def text_terms(clean: str = "clean", bigrams: bool = True, stopwords=None):
 
 
 def token_lists(texts: DataFrame, clean: str, *columns: str) -> DataFrame:
-    """The given columns and the tokens of each text, tokenised once and saved for the passes that read them."""
-    return cut_lineage(texts.select(*columns, terms(F.col(clean)).alias("tokens")), "tokens")
+    """The given columns and the cleaned texts as ``clean``, cleaned once and saved for the passes that make tokens of them."""
+    return cut_lineage(texts.select(*columns, F.col(clean).alias("clean")), "cleaned")
 
 
 def count_vocabulary(lists: DataFrame, max_features: int, bigrams: bool, stopwords) -> DataFrame:
     """(term, ctf, df) by counting every term; partial sums run before the shuffle."""
-    tokens = F.col("tokens")
+    lists, tokens = lists.select(terms(F.col("clean")).alias("tokens")), F.col("tokens")
     if stopwords:
         tokens = F.filter(tokens, lambda t: ~t.isin(*stopwords))
     listed = with_bigrams(tokens) if bigrams else tokens

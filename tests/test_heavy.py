@@ -1,12 +1,14 @@
 """The vocabulary from bounded summaries against counting every term."""
 
+import math
 import random
+import re
 from collections import Counter
 
 import pyarrow as pa
 import pytest
 
-from laborlens.operators import heavy, skills
+from laborlens.operators import clusters, heavy, skills
 
 RNG = random.Random(5)
 
@@ -100,3 +102,34 @@ def test_summary_bounds():
     assert len(kept) <= 20
     assert all(kept.get(t, 0) <= n <= kept.get(t, 0) + summary.error for t, n in true.items())
     assert summary.error <= sum(true.values()) / 21
+
+
+def test_tokens_equal_the_pattern():
+    """Runs end with their text, single characters and other scripts are none; NULL stays NULL, also in a slice."""
+    texts = ["ab a cd", "", None, "x", "yz", "Éab_1 c++ ünd", "日本 k8s", "ab", "_", "__ 9 99", None, "ab"]
+    want = [None if t is None else re.findall("[A-Za-z0-9_]{2,}", t) for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["clean"])
+    for lo in range(len(texts)):
+        for hi in range(lo, len(texts) + 1):
+            assert heavy.tokens(batch.slice(lo, hi - lo), "clean").to_pylist() == want[lo:hi]
+
+
+def test_cluster_vectors_shuffle_few_terms(spark, monkeypatch):
+    """One vector for each text, texts without a term and repeated keys included, by the same weights as counting all terms."""
+    monkeypatch.setattr(heavy, "TOKENS", 500)
+    texts = [" ".join(zipf(80, 300)) for _ in range(40)] + ["", "w1 w1 w2", "w1 w1 w2", "the of"]
+    given = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "posting_id long, clean string").repartition(3)
+    vectors, names = clusters.term_vectors(given, features=30)
+    want = brute(texts, 30, True, [])
+    assert names == [t for t, _, _ in want]
+    assert "Exchange" not in vectors._jdf.queryExecution().executedPlan().toString()
+    got = vectors.collect()
+    assert sorted(r.posting_id for r in got) == sorted(i // 2 for i in range(len(texts)))
+    expected = []
+    for i, text in enumerate(texts):
+        tokens = text.split()
+        count = Counter(tokens + [f"{a} {b}" for a, b in zip(tokens, tokens[1:])])
+        raw = [count[t] * (math.log((1 + len(texts)) / (1 + df)) + 1) for t, _, df in want]
+        norm = math.sqrt(sum(x * x for x in raw)) or 1
+        expected.append((i // 2, [round(x / norm, 9) for x in raw]))
+    assert sorted((r.posting_id, [round(x, 9) for x in r.features.toArray().tolist()]) for r in got) == sorted(expected)
