@@ -14,6 +14,7 @@ from laborlens.operators import automaton, heavy
 from laborlens.session import cut_lineage
 
 LEXICON_BYTES = 16 << 20        # a lexicon table up to this size is sent to every task
+MATRIX_ROWS = 250_000           # rows that one task makes wide rows of
 
 
 def english_stopwords(extra=()) -> list[str]:
@@ -212,8 +213,13 @@ def skills_per_posting(posting_skills: DataFrame) -> DataFrame:
 
 
 def skill_matrix(posting_skills: DataFrame, columns) -> DataFrame:
-    """Export shape: one row per posting, one column per given skill, mean score or 0."""
-    return (posting_skills.groupBy("posting_id").pivot("skill", list(columns))
+    """Export shape: one row per posting, one column per given skill, mean score or 0.
+
+    Each task turns about MATRIX_ROWS rows into wide ones, so what it holds does not grow with the table.
+    """
+    rows = cut_lineage(posting_skills.select("posting_id", "skill", "score"), "matrix-rows")
+    parts = 1 + rows.count() // MATRIX_ROWS         # the count is read from the files' footers
+    return (rows.repartition(parts, "posting_id").groupBy("posting_id").pivot("skill", list(columns))
             .agg(F.avg("score")).na.fill(0.0))
 
 

@@ -195,7 +195,7 @@ SELECT posting_id, {", ".join(f'''coalesce(avg(CASE WHEN skill = '{c}' THEN scor
 FROM posting_skills GROUP BY 1
 """)
 def skill_matrix(spark, d):
-    return skills.skill_matrix(posting_skills(spark, d), _COLUMNS)
+    return skills.skill_matrix(posting_skills(spark, d, skills.MATRIX_ROWS), _COLUMNS)
 
 
 @query("skills_per_posting", f"""

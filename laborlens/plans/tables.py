@@ -113,12 +113,15 @@ def skill_names(spark: SparkSession, d: str) -> DataFrame:
             .agg(F.min("p_type").alias("category")))
 
 
-def posting_skills(spark: SparkSession, d: str) -> DataFrame:
+def posting_skills(spark: SparkSession, d: str, lines_per_task: int | None = None) -> DataFrame:
+    """The parts of each order; with ``lines_per_task`` as many tasks group them as the lines ask for."""
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("posting_id"),
                                                "l_partkey", "l_quantity")
     parts = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("skill"))
-    return (lines.join(parts, lines.l_partkey == parts.p_partkey)
-            .groupBy("posting_id", "skill").agg((F.max("l_quantity") / 50).alias("score")))
+    ordered = lines.join(parts, lines.l_partkey == parts.p_partkey)
+    if lines_per_task:
+        ordered = ordered.repartition(1 + lines.count() // lines_per_task, "posting_id")
+    return (ordered.groupBy("posting_id", "skill").agg((F.max("l_quantity") / 50).alias("score")))
 
 
 SKILLS = """

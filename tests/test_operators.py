@@ -467,3 +467,18 @@ def test_grouped_training_equals_row_training(spark):
     ]).fit(frame.where("NOT is_test"))
     both = single.transform(salary.raw_predictions(models, frame))
     assert both.where("abs(one - usd_salary_min) > 0.01").count() == 0
+
+
+def test_skill_matrix_grows_by_tasks(spark, monkeypatch):
+    """The number of tasks follows the rows; repeated rows are averaged, a NULL posting is one row, with 0 filled in."""
+    monkeypatch.setattr(skills, "MATRIX_ROWS", 10)
+    data = [((i % 21) or None, "ab"[i % 2], float(i)) for i in range(100)] + [(500, "other", 1.0), (501, None, 2.0)]
+    given = spark.createDataFrame(data, "posting_id long, skill string, score double")
+    got = skills.skill_matrix(given, ["a", "b"])
+    assert got.rdd.getNumPartitions() == 11
+    want = {}
+    for posting, skill, score in data:
+        want.setdefault(posting or 0, {"a": [], "b": []}).get(skill, []).append(score)
+    assert {r.posting_id or 0: (r.a, r.b) for r in got.collect()} == {
+        k: tuple(sum(v[c]) / len(v[c]) if v[c] else 0.0 for c in "ab") for k, v in want.items()}
+    assert got.count() == len(want)
