@@ -176,6 +176,11 @@ def links(fingerprints: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_walk, "a long, b long")
 
 
+def fingerprint_classes(scratch: Scratch, fingerprints: DataFrame, keep: str = "components") -> DataFrame:
+    """fingerprint, component: for each fingerprint within RADIUS bits of another one the smallest reachable one."""
+    return components(scratch, links(fingerprints), keep).withColumnRenamed("node", "fingerprint")
+
+
 def near_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", n: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest id reachable over links.
 
@@ -187,7 +192,7 @@ def near_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", n:
     scratch = Scratch(spark, "simhash")
     marks = scratch.save(simhash(docs.select(F.col(id_).alias("doc_id"), F.col(text).alias("text")), n=n), "marks")
     least = scratch.save(marks.groupBy("fingerprint").agg(F.min("doc_id").alias("low")), "distinct")
-    found = components(scratch, links(least)).withColumnRenamed("node", "fingerprint")
+    found = fingerprint_classes(scratch, least)
     near = least.join(found, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
     lows = near.groupBy("component").agg(F.min("low").alias("component_id"))
     classes = near.join(lows, "component").select("fingerprint", "component_id")

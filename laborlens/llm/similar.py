@@ -1,6 +1,7 @@
 """Near copies by content: sets of word shingles whose exact Jaccard similarity reaches a bound, and their classes.
 
-MinHash bands only propose: a pair of similarity 0.8 shares none of the 32 bands of 4 with a probability
+SimHash and MinHash only propose. Texts whose fingerprints (of all their shingles, repeats included) are linked by op2's
+search are a bucket, and so are texts that share a MinHash band: a pair of similarity 0.8 shares none of the 32 bands of 4 with a probability
 of (1 - 0.8 ** 4) ** 32 = 5e-8. Only a sketch of each set goes to its buckets: the parity of its hashes in
 about one to two cells a shingle. Two sketches differ in at most as many cells as the sets differ in shingles,
 so pairs whose sketches differ too much are no link, for certain. What sketches leave connected is one
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from laborlens.llm.common import Scratch, components, flat, pieces
+from laborlens.llm.simhash import fingerprint, fingerprint_classes
 from laborlens.llm.words import mix, words
 
 SHINGLE = 5
@@ -177,6 +179,14 @@ def _in_cells(members: DataFrame, sizes: DataFrame) -> DataFrame:
         .select("key", "node", (F.least("part", "other").cast("long") * F.col("parts") + F.greatest("part", "other")).alias("cell"))
 
 
+def by_fingerprint(scratch: Scratch, marks: DataFrame) -> DataFrame:
+    """node, size, key: sets with words whose fingerprints are linked, or equal, have one key."""
+    marked = marks.where("size > 0").select("node", "size", "fingerprint").distinct()
+    classes = fingerprint_classes(scratch, marked, "fingerprints").withColumnRenamed("fingerprint", "linked")
+    held = marked.join(classes, F.col("fingerprint") == F.col("linked"), "left")
+    return held.select("node", "size", F.xxhash64(F.coalesce("component", "fingerprint"), F.lit(0)).alias("key")).distinct()
+
+
 def with_node(docs: DataFrame, name: str, text: str = "text", n: int = SHINGLE) -> DataFrame:
     """``docs`` with the hash of each text's shingles as column ``name``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,8 +233,10 @@ def near_copies(docs: DataFrame, id_: str = "doc_id", text: str = "text", n: int
             keys = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum((size > 0) * BANDS)), pa.int32()),
                                             pa.array(_bands(h, cut).ravel()))
             held = pa.array([x.tobytes() for x in sketches(h, cut)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_nodes(h, cut)), pa.array(size), keys, held],
-                                             ["doc_id", "node", "size", "keys", "sketch"])
+            marks = np.array([fingerprint((t.as_py() or "").encode(), n) for t in batch.column("text")], np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(_nodes(h, cut)), pa.array(size), keys, held, pa.array(marks.view(np.int64))],
+                ["doc_id", "node", "size", "keys", "sketch", "fingerprint"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -245,10 +257,11 @@ def near_copies(docs: DataFrame, id_: str = "doc_id", text: str = "text", n: int
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
     marks = scratch.save(rows.mapInArrow(
-        mark, f"doc_id {id_type}, node long, size long, keys array<long>, sketch binary"), "marks")
+        mark, f"doc_id {id_type}, node long, size long, keys array<long>, sketch binary, fingerprint long"), "marks")
     nodes = scratch.save(marks.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("size").alias("size"), F.first(
         "keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
-    keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
+    keyed = nodes.select("node", "size", F.explode("keys").alias("key")).union(
+        scratch.save(by_fingerprint(scratch, marks), "by_fingerprint"))
     # copies of one text meet in most bands with the same members: one such bucket is enough
     buckets = scratch.save(keyed.groupBy("key").agg(
         F.count("*").alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"),

@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from laborlens.llm import similar
-from laborlens.llm.common import table
+from laborlens.llm import simhash, similar
+from laborlens.llm.common import Scratch, table
 
 RNG = random.Random(11)
 WORDS = [f"v{i}" for i in range(400)]
@@ -105,3 +105,22 @@ def test_first_copies_keeps_one_row_of_a_class(spark):
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(
         [(4, "x y z", 1), (7, None, 1), (None, "alone", 1), (4, "another text of its own", 1)], key=repr)
     assert similar.first_copies(docs.limit(0)).count() == 0
+
+
+def test_fingerprints_propose(spark, monkeypatch):
+    """op2's fingerprints alone (no bands) lead to near copies; sets decide, so a fingerprint of a far text is no link."""
+    monkeypatch.setattr(similar, "_bands", lambda h, cut: np.random.default_rng(len(h)).integers(
+        -1 << 62, 1 << 62, (int((np.diff(cut) > 0).sum()), similar.BANDS)))
+    words = [f"w{i}" for i in range(900)]
+    near = words[:]
+    near[450] = "other"
+    texts = [" ".join(words), " ".join(near), " ".join(words), " ".join(words[::-1]), "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    bits = [simhash.fingerprint((t or "").encode(), similar.SHINGLE) for t in texts]
+    assert 0 < (bits[0] ^ bits[1]).bit_count() <= simhash.RADIUS
+    marks = spark.createDataFrame([(1, 5, 0b0), (2, 5, 0b111), (3, 5, 0b111111), (4, 5, (1 << 63) - 1), (5, 5, 0), (6, 0, 0)],
+                                  "node long, size long, fingerprint long")
+    keys = {r.node: r.key for r in similar.by_fingerprint(Scratch(spark, "test"), marks).collect()}
+    assert keys[1] == keys[2] == keys[3] == keys[5] != keys[4] and 6 not in keys
+    got = {r.doc_id: r.component_id for r in similar.near_copies(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 4}
