@@ -20,6 +20,13 @@ SENIORITY_RULES = (
      + rf"|(?<!{WORD})[345]\+(?={WORD})"),
     ("junior", whole_word(r"junior|jr|entry\s?level|graduate|fresh|intern|0-2|0-1")),
 )
+# one of these is a part of every match, so most texts need no pattern
+SENIORITY_PARTS = {
+    "lead": ("lead", "head of", "principal", "director", "manager", "executive", "chief"),
+    "senior": ("senior", "sr", "lead", "staff", "architect", "principal"),
+    "mid": ("mid", "intermediate", "experienced", "3+", "4+", "5+"),
+    "junior": ("junior", "jr", "entry", "graduate", "fresh", "intern", "0-2", "0-1"),
+}
 COARSE_SENIOR = ("senior", "lead", "principal", "staff", "head of")
 COARSE_JUNIOR = ("junior", "entry", "graduate", "fresh", "intern")
 
@@ -70,7 +77,7 @@ def seniority(title: Column, description: Column) -> Column:
     text = _joined(title, description)
     rule = None
     for level, pattern in SENIORITY_RULES:
-        rule = (F if rule is None else rule).when(text.rlike(pattern), level)
+        rule = (F if rule is None else rule).when(contains_any(text, SENIORITY_PARTS[level]) & text.rlike(pattern), level)
     return rule.otherwise("mid")
 
 

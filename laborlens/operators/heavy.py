@@ -161,6 +161,18 @@ def _counter(wanted: list[str], stopwords: list[str]) -> Callable[[pa.RecordBatc
     return count
 
 
+def count_words(lists: DataFrame, stopwords: list[str]) -> DataFrame:
+    """(term, tf): how often the words occur in some texts that a task has read together; no shuffle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            seen = Pairs(batch.column("tokens"), stopwords)
+            n = np.bincount(seen.codes, minlength=len(seen.words))
+            used = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([seen.words.take(pa.array(used)), pa.array(n[used], pa.int64())], ["term", "tf"])
+
+    return lists.select("clean").mapInArrow(run, "term string, tf long")
+
+
 def count_terms(lists: DataFrame, wanted: list[str], stopwords: list[str], key: str | None = None) -> DataFrame:
     """([key,] term, tf): how often each text that has one of the wanted terms has it; no shuffle."""
     names, count = pa.array(wanted, pa.string()), _counter(wanted, stopwords)

@@ -49,7 +49,8 @@ def store_batch(store: Store, arriving: DataFrame, order, scraped_at=None, note:
 def refresh_skills(store: Store) -> None:
     """Skills of all postings with their TF-IDF scores; replaces equal keys, keeps the rest."""
     texts = store.read("postings").select("posting_id", clean_text(F.col("description")).alias("clean"))
-    found = skills.match_skills(texts)
+    texts = cut_lineage(texts, "clean")                         # read for the skills and for the weights
+    found = cut_lineage(skills.match_skills(texts), "found")    # read for the scores and for the names
     weights = skills.tfidf(texts, stopwords=skills.english_stopwords())
     scored = skills.skill_scores(found, weights)
     if store.exists("posting_skills"):

@@ -7,7 +7,9 @@ from collections import Counter
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from laborlens.functions import detect
 from laborlens.operators import clusters, heavy, skills
 
 RNG = random.Random(5)
@@ -133,3 +135,30 @@ def test_cluster_vectors_shuffle_few_terms(spark, monkeypatch):
         norm = math.sqrt(sum(x * x for x in raw)) or 1
         expected.append((i // 2, [round(x / norm, 9) for x in raw]))
     assert sorted((r.posting_id, [round(x, 9) for x in r.features.toArray().tolist()]) for r in got) == sorted(expected)
+
+
+def test_term_report_counts_in_the_tasks(spark):
+    """No row for each token; stop words, NULL and empty texts as before."""
+    texts = [" ".join(zipf(60, 80)) for _ in range(30)] + ["the of w1", "", None]
+    report = skills.term_report(frame(spark, texts), limit=10)
+    assert "Generate" not in report._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in report.collect()] == [(t, n) for t, n, _ in brute(texts, 10, False, set(skills.english_stopwords()))]
+
+
+def test_seniority_parts_lose_no_match(spark):
+    """Each rule's parts find all that its pattern finds, and a part alone is no match."""
+    assert [level for level, _ in detect.SENIORITY_RULES] == list(detect.SENIORITY_PARTS)
+    alone = ["lead", "head of", "principal", "director", "manager", "executive", "chief", "senior", "sr", "staff", "architect", "mid",
+             "mid-level", "mid level", "midlevel", "intermediate", "experienced", "3+y", "4+1", "5+x", "5+", "junior", "jr", "entry level",
+             "entrylevel", "graduate", "fresh", "intern", "0-2", "0-1"]
+    texts = [t for a in alone for t in (f"x {a} y", f"x{a}y", a)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    rule = F.lit("mid")
+    for level, pattern in reversed(detect.SENIORITY_RULES):
+        rule = F.when(F.col("text").rlike(pattern), level).otherwise(rule)
+    got = rows.select("text", detect.seniority(F.lit(""), F.col("text")).alias("level"), rule.alias("want")).collect()
+    assert len(got) == len(texts) and all(r.level == r.want for r in got)
+    hit = detect.contains_any
+    for level, pattern in detect.SENIORITY_RULES:
+        found = rows.where(F.col("text").rlike(pattern) & ~hit(F.col("text"), detect.SENIORITY_PARTS[level]))
+        assert found.isEmpty(), level
