@@ -10,6 +10,8 @@ from laborlens import vocab
 from laborlens.schema import ARRIVING, POSTING_DEFAULTS, conform
 from laborlens.session import cut_lineage
 
+KEY_BYTES = 8 << 20             # repeated keys up to this size are sent to every task
+
 
 def accept(arriving: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows that can be stored, and rows without a title.
@@ -37,6 +39,22 @@ def first_wins(df: DataFrame, order, key: str = "source_id") -> DataFrame:
     return _one_per_key(df.withColumn("_own", own), [key, "_own"], order).drop("_own")
 
 
+def first_arrivals(df: DataFrame, order, key: str = "source_id") -> DataFrame:
+    """As ``first_wins``, where most keys come once: only rows whose key comes again are shuffled whole.
+
+    Keys are counted first. Those that come again are sent to every task up to KEY_BYTES; where they are more, all rows meet.
+    """
+    repeated = cut_lineage(df.select(key).where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key),
+                           "repeated-keys")
+    size = repeated.agg(F.sum(F.octet_length(F.col(key).cast("string")))).first()[0]
+    if size is None:
+        return df
+    if size > KEY_BYTES:
+        return first_wins(df, order, key)
+    once = df.join(F.broadcast(repeated), key, "left_anti").select(df.columns)
+    return once.unionByName(_one_per_key(df.join(F.broadcast(repeated), key, "left_semi").select(df.columns), [key], order))
+
+
 def last_wins(df: DataFrame, keys, order) -> DataFrame:
     """The last row of each key, by a descending order."""
     return _one_per_key(df, keys, order)

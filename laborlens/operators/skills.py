@@ -132,26 +132,33 @@ def vocabulary(texts: DataFrame, clean: str = "clean", max_features: int = 500,
 
 
 def tfidf(texts: DataFrame, key: str = "posting_id", clean: str = "clean",
-          max_features: int = 500, bigrams: bool = True, stopwords=None) -> DataFrame:
+          max_features: int = 500, bigrams: bool = True, stopwords=None, saved: bool = False) -> DataFrame:
     """(key, term, weight): tf · (ln((1+n)/(1+df)) + 1), rows scaled to length one.
 
     Only counts of candidate terms leave the tasks that read the tokens; the vocabulary side of
-    the join has at most ``max_features`` rows. Texts with equal keys are one text.
+    the join has at most ``max_features`` rows, so it is sent to the tasks and the counts are shuffled once, by key.
+    Texts with equal keys are one text. ``saved`` texts are read as they are, not saved again.
     """
-    kept, counts, n = ranked_terms(token_lists(texts, clean, key), max_features, bigrams, stopwords, key)
+    lists = texts.select(key, F.col(clean).alias("clean")) if saved else token_lists(texts, clean, key)
+    kept, counts, n = ranked_terms(lists, max_features, bigrams, stopwords, key)
     idf = kept.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
-    counts = (counts.join(idf, "term").groupBy(key, "term", "idf").agg(F.sum("tf").alias("tf"))
+    counts = (counts.join(F.broadcast(idf), "term").repartition(key).groupBy(key, "term", "idf").agg(F.sum("tf").alias("tf"))
               .withColumn("raw", F.col("tf") * F.col("idf")))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(key)))
     return counts.select(key, "term", (F.col("raw") / norm).alias("weight"))
 
 
 def skill_scores(found: DataFrame, weights: DataFrame, key: str = "posting_id") -> DataFrame:
-    """(key, skill, score): the best weight among the skill's words, 0 without any."""
-    words = found.select(key, "skill", F.explode(F.split("skill", r"\s+")).alias("term"))
-    return (words.join(weights, [key, "term"], "left")
+    """(key, skill, score): the best weight among the skill's words, 0 without any.
+
+    A text's weights meet its skills as one list, so they stay where ``tfidf`` has dealt them by key.
+    """
+    lists = weights.groupBy(key).agg(F.collect_list(F.struct("term", "weight")).alias("weights"))
+    words = found.select(key, "skill", F.split("skill", r"\s+").alias("words"))
+    own = F.filter("weights", lambda w: F.array_contains("words", w["term"]))
+    return (words.join(lists, key, "left")
             .groupBy(key, "skill")
-            .agg(F.coalesce(F.max("weight"), F.lit(0.0)).alias("score")))
+            .agg(F.coalesce(F.max(F.array_max(F.transform(own, lambda w: w["weight"]))), F.lit(0.0)).alias("score")))
 
 
 # --- demand and co-occurrence -----------------------------------------------------------

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,12 @@ _LOG = ("commit_id long, tables map<string, struct<folders: array<string>, schem
         "note string")
 
 
+class Staged(NamedTuple):
+    """Rows in a new folder that no commit names yet; columns outside the schema are not read from it."""
+    folder: str
+    schema: StructType
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -57,19 +64,18 @@ class Store:
         folders, schema = self._state(commit_id)[1][table]
         return self.spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(*folders)
 
-    def _stage(self, table: str, df: DataFrame) -> str:
+    def stage(self, table: str, df: DataFrame, schema: StructType | None = None) -> Staged:
+        """Write rows for a later commit, so that they can be read before it; with ``schema`` only these columns count."""
         folder = f"{self.root}/{table}/{uuid.uuid4().hex}"
         df.write.parquet(folder)
-        return folder
+        return Staged(folder, schema or df.schema)
 
     def commit(self, replace: dict | None = None, append: dict | None = None, note: str = "") -> int:
-        """Write all frames, then switch to them together."""
-        staged = [(t, self._stage(t, df), True) for t, df in (replace or {}).items()]
-        staged += [(t, self._stage(t, df), False) for t, df in (append or {}).items()]
+        """Write all frames that are not staged yet, then switch to them together."""
+        staged = [(t, df if isinstance(df, Staged) else self.stage(t, df), whole)
+                  for frames, whole in ((replace, True), (append, False)) for t, df in (frames or {}).items()]
         last, tables = self._state()
-        frames = {**(replace or {}), **(append or {})}
-        for table, folder, whole in staged:
-            schema = frames[table].schema
+        for table, (folder, schema), whole in staged:
             if whole or table not in tables:
                 folders = [folder]
             else:       # older columns first, then those the append adds

@@ -26,24 +26,24 @@ def store_batch(store: Store, arriving: DataFrame, order, scraped_at=None, note:
     if store.exists("postings"):
         # keys are compared first, so a pull that brings nothing new sends no whole rows
         rows = ingest.unseen(rows, store.read("postings"))
-    # the batch is read for its keys, its rows and its companies, so it is computed once
-    batch = cut_lineage(ingest.first_wins(rows, order), "batch")
     base = 0
     if store.exists("postings"):
         base = (store.read("postings").agg(F.max("posting_id")).first()[0] or 0) + 1
     scraped = filters.as_column(scraped_at)
-    new = (batch
+    new = (ingest.first_arrivals(rows, order)
            .withColumn("posting_id", F.monotonically_increasing_id() + F.lit(base))
            .withColumn("company_id", ingest.company_id(F.col("company")))
            .withColumn("seniority", detect.seniority(F.col("title"), F.col("description")))
            .withColumn("scraped_at", scraped)
            .withColumn("ingest_date", scraped.cast("date")))
-    names = batch.select(F.col("company").alias("name"))
+    # rows are written once, with the companies' names beside them, which the table's schema leaves out
+    staged = store.stage("postings", conform(new, STORED, keep=["company"]), STORED)
+    names = store.spark.read.schema("company string").parquet(staged.folder).withColumnRenamed("company", "name")
     known = (store.read("companies") if store.exists("companies")
              else names.limit(0).withColumn("company_id", F.lit(0).cast("long")))
     companies = (ingest.new_dimension_rows(names, known, "name")
                  .withColumn("company_id", ingest.company_id(F.col("name"))))
-    store.commit(append={"postings": conform(new, STORED), "companies": companies}, note=note)
+    store.commit(append={"postings": staged, "companies": companies}, note=note)
 
 
 def refresh_skills(store: Store) -> None:
@@ -51,7 +51,7 @@ def refresh_skills(store: Store) -> None:
     texts = store.read("postings").select("posting_id", clean_text(F.col("description")).alias("clean"))
     texts = cut_lineage(texts, "clean")                         # read for the skills and for the weights
     found = cut_lineage(skills.match_skills(texts), "found")    # read for the scores and for the names
-    weights = skills.tfidf(texts, stopwords=skills.english_stopwords())
+    weights = skills.tfidf(texts, stopwords=skills.english_stopwords(), saved=True)
     scored = skills.skill_scores(found, weights)
     if store.exists("posting_skills"):
         scored = ingest.replace_rows(store.read("posting_skills"), scored, ["posting_id", "skill"])

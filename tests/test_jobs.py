@@ -3,6 +3,7 @@
 import glob
 import io
 import json
+import re
 import zipfile
 from datetime import datetime
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from laborlens import vocab
-from laborlens.operators import ingest
+from laborlens.operators import ingest, skills
 from laborlens.operators.store import Store
 from laborlens.plans import refresh
 from laborlens.session import scratch_root, slices
@@ -274,3 +275,45 @@ def test_each_pull_is_one_micro_batch(spark, tmp_path):
     assert entry.queries()["stream_ingest_first_wins"](spark, str(tmp_path)).count() == 40
     made, = set(glob.glob(scratch_root(spark) + "/arrivals-*")) - before
     assert Store(spark, f"{made}/store").history().count() == 3
+
+
+def test_texts_are_saved_once_by_ingest_and_once_by_skills(spark, tmp_path, monkeypatch):
+    saved, kept = [], ingest.cut_lineage
+
+    def recorded(df, name):
+        saved.append(set(df.columns))
+        return kept(df, name)
+
+    for module in (ingest, refresh, skills):
+        monkeypatch.setattr(module, "cut_lineage", recorded)
+    store = Store(spark, str(tmp_path / "store"))
+    refresh.store_batch(store, feeds.ingest_feeds({"bayt": feed_rows(spark)}), [F.col("source")], NOW)
+    refresh.refresh_skills(store)
+    assert not [c for c in saved if "description" in c]
+    assert len([c for c in saved if "clean" in c]) == 1
+    assert "company" not in store.read("postings").columns
+    assert refresh.with_companies(store).where("company IS NULL").isEmpty()
+
+
+@pytest.mark.parametrize("most", [0, 8 << 20])
+def test_first_arrivals_are_those_of_first_wins(spark, monkeypatch, most):
+    monkeypatch.setattr(ingest, "KEY_BYTES", most)
+    data = [("a", 2, "x"), ("a", 1, "y"), ("b", 1, "z"), (None, 1, "n"), (None, 1, "n"), ("c", 3, "p"), ("c", 1, None), ("", 1, "e")]
+    df = spark.createDataFrame(data, "source_id string, at int, title string")
+    rows = sorted(ingest.first_arrivals(df, [F.col("at")]).collect(), key=str)
+    assert rows == sorted(ingest.first_wins(df, [F.col("at")]).collect(), key=str) and len(rows) == 6
+    alone = df.where("source_id IN ('b', '')")
+    assert sorted(ingest.first_arrivals(alone, [F.col("at")]).collect()) == sorted(alone.collect())
+
+
+def test_weights_are_shuffled_once_for_the_scores(spark):
+    texts = spark.createDataFrame([(i % 9, f"python sql w{i % 4} python") for i in range(40)], "posting_id long, clean string")
+    found = spark.createDataFrame([(i, "python") for i in range(9)] + [(1, "python sql"), (77, "r")], "posting_id long, skill string")
+    weights = skills.tfidf(texts)
+    best = {(r.posting_id, r.term): r.weight for r in weights.collect()}
+    scored = skills.skill_scores(found, weights)
+    expected = {(r.posting_id, r.skill): max([best.get((r.posting_id, w), 0.0) for w in r.skill.split()]) for r in found.collect()}
+    assert {(r.posting_id, r.skill): r.score for r in scored.collect()} == pytest.approx(expected)
+    # the counts by key, and the skills that meet them
+    plan = scored._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("hashpartitioning(posting_id") == 2 and not re.search(r"hashpartitioning\(posting_id#\w+, term", plan)
