@@ -310,6 +310,33 @@ def test_large_joins_on_skill_are_left_out():
     assert recommend.DIRECT_ROWS <= 1_000_000
 
 
+@pytest.mark.parametrize("tier, block, wanted", [(8192, 8192, 256), (20, 8192, 256), (20, 10, 256), (20, 10, 0)])
+def test_settled_lists_hold_what_their_users_can_get(spark, monkeypatch, tier, block, wanted):
+    """With one tier or several, of one cell or several: lists are written as short as the wants ask, results stay those of the join."""
+    written, kept = [], recommend.cut_lineage
+
+    def recorded(df, name):
+        out = kept(df, name)
+        if name == "best" and "done" in out.columns:
+            written.extend(len(r.near) for r in out.where("done").collect())
+        return out
+
+    for name, value in (("TIER", tier), ("BLOCK", block), ("WANTED", wanted), ("cut_lineage", recorded)):
+        monkeypatch.setattr(recommend, name, value)
+    users, scores = random_market(8, 25, 120)
+    modes = ["remote", "hybrid", "onsite"]
+    asking = [(u, s, modes[u % 3] if u % 4 else None, ["uk", "all"][u % 2]) for u, s in users]
+    asking += [(u + 100, s, "remote", "uk") for u, s in users] + [(3, ["x"], "onsite", None), (None, users[0][1], None, None)]
+    rows = [(p, "UK" if p % 5 else None, modes[p % 7 % 3], "c", "s") for p in range(120)] + [(7, "EG", "remote", "c", "s")]
+    args = (spark.createDataFrame(asking, "user_id long, skills array<string>, want_job_type string, want_country string"),
+            spark.createDataFrame(scores, "posting_id long, skill string, score double"),
+            spark.createDataFrame(rows, "posting_id long, country string, job_type string, contract_type string, seniority string"))
+    one, other = (recommend.recommend(*args, 2, overfetch=6, direct_rows=n) for n in (10**9, 0))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect()))
+    # mostly two wants ask for a request, each takes two postings of its twelve
+    assert (written and sum(written) < 6 * len(written)) if wanted else not written
+
+
 def test_resume_text_to_recommendations(spark):
     texts = spark.createDataFrame([(1, "Led teams. Python, and SQL!"), (2, "sql " * 5000 + "docker"), (3, None), (4, ""), (5, "cook")],
                                   "resume_id long, text string")
